@@ -65,9 +65,13 @@ def registered() -> dict[str, Query]:
 
 
 def neat(df: DataFrame, digits: int = 4) -> DataFrame:
-    """Round every double so that engines can be compared; ``+ 0.0`` removes negative zero."""
+    """Round every double so that engines can be compared.
+
+    The nudge sends exact ties the same way everywhere; ``+ 0.0`` removes negative zero.
+    """
+    nudge = 10.0 ** -(digits + 3)
     doubles = [f.name for f in df.schema.fields if isinstance(f.dataType, T.DoubleType)]
-    return df.withColumns({c: F.round(c, digits) + F.lit(0.0) for c in doubles})
+    return df.withColumns({c: F.round(F.col(c) + nudge, digits) + F.lit(0.0) for c in doubles})
 
 
 def tally(df: DataFrame, *columns: Column) -> DataFrame:
@@ -426,12 +430,12 @@ def one_hot_active(spark, d):
     train, test = split.train_test_split(_inputs(spark, d), LISTING_KEYS)
     model = features.build_feature_pipeline().fit(stage(train, "train"))
     names = features.feature_names(model)
-    first = len([n for n in names if n.startswith("num__")])
     values = features.vector_to_array("features")
-    active = F.filter(F.sequence(F.lit(first), F.lit(len(names) - 1)), lambda i: F.get(values, i) == 1.0)
-    slots = model.transform(test).select(F.explode(active).alias("slot"))
-    labels = F.array(*[F.lit(n) for n in names])
-    return tally(slots, F.get(labels, F.col("slot")).alias("raw_feature"))
+    numbered = F.transform(values, lambda x, i: F.struct(i.alias("slot"), x.alias("x")))
+    cells = model.transform(test).select(F.inline(F.filter(numbered, lambda c: c.x == 1.0)))
+    # The slot table is as wide as the model.
+    slots = spark.createDataFrame([(i, n) for i, n in enumerate(names) if n.startswith("cat__")], "slot int, raw_feature string")
+    return tally(cells.join(F.broadcast(slots), "slot"), F.col("raw_feature"))
 
 
 @query
@@ -582,7 +586,7 @@ def validate_inputs(spark, d):
 def score_band(spark, d):
     orders = table(spark, d, "orders").select("o_orderkey", (F.col("o_totalprice") / 1000).alias("price"))
     banded = scoring.with_band(orders, F.col("price"), 64.264)
-    return neat(banded.drop("price", "interval_label"))
+    return neat(banded.drop("price", "interval_label"), 8)
 
 
 # Fixed weights, so that the attributions have a closed form.

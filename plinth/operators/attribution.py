@@ -195,10 +195,9 @@ def tree_attributions(
     values = vector_to_array(FEATURES) if values is None else values
     slots = ensemble.slots
     leaves = df.sparkSession.sparkContext.broadcast(ensemble.packed())
-    used = F.array(*[F.lit(s) for s in slots])
-    narrow = df.select(*keys, values.alias("all")).select(
-        *keys, F.transform(used, lambda s: F.get("all", s)).alias("feature_value")
-    )
+    is_used = F.expr("array(" + ",".join(str(i in set(slots)).lower() for i in range(len(names))) + ")")
+    # The array is an argument of `filter`, so a vector is unpacked once per row, not once per slot.
+    narrow = df.select(*keys, F.filter(values, lambda x, i: F.get(is_used, i)).alias("feature_value"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -207,7 +206,7 @@ def tree_attributions(
 
     schema = T.StructType([*narrow.schema.fields, T.StructField("contribution", T.ArrayType(T.DoubleType()))])
     explained = narrow.mapInPandas(run, schema)
-    columns = {"slot": used, "raw_feature": F.array(*[F.lit(names[s]) for s in slots])}
+    columns = {"slot": F.array(*[F.lit(s) for s in slots]), "raw_feature": F.array(*[F.lit(names[s]) for s in slots])}
     zipped = F.arrays_zip("slot", "raw_feature", "feature_value", "contribution")
     return explained.withColumns(columns).select(*keys, zipped.alias("attributions"))
 
