@@ -7,11 +7,21 @@ from pyspark.sql import functions as F
 
 from plinth.schemas import DEFAULT_AREA_TYPE, OTHER, READY, UNDER_CONSTRUCTION
 
-# (?U) makes \s cover non-breaking and other Unicode spaces.
-_EDGE_SPACE = r"(?U)^\s+|\s+$"
-_SPACE_RUN = r"(?U)\s+"
-_DECIMAL = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
+# The characters that count as white space, no-break and wide spaces included.
+WHITE_SPACE = (
+    " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007"
+    "\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+_SPACE_RUN = r"(?U)[\s\x1c-\x1f]+"
+_DIGITS = r"[0-9](?:_?[0-9])*"
+_UNSIGNED = rf"(?:{_DIGITS}(?:\.(?:{_DIGITS})?)?|\.{_DIGITS})"
+_DECIMAL = rf"(?U)^[\s\x1c-\x1f]*[+-]?{_UNSIGNED}(?:[eE][+-]?{_DIGITS})?[\s\x1c-\x1f]*$"
+_RANGE_SIDE = rf"(\+?{_UNSIGNED}(?:[eE]\+?{_DIGITS})?)"
+_RANGE = rf"(?U)^[\s\x1c-\x1f]*{_RANGE_SIDE}[\s\x1c-\x1f]*-[\s\x1c-\x1f]*{_RANGE_SIDE}[\s\x1c-\x1f]*$"
 _DIGIT_DOT_RUN = r"([0-9.]+)"
+# A letter after something that is neither letter nor space.
+_INNER_WORD = r"(?<=[^\p{L} ])(?=\p{L})"
+_MARK = "\x01 "
 
 # Unit spellings and their size in square feet, in order of precedence.
 AREA_UNITS = [
@@ -42,32 +52,34 @@ FEATURE_LABEL_PREFIXES = [
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, _EDGE_SPACE, "")
+    return F.btrim(c, F.lit(WHITE_SPACE))
 
 
+def _as_double(digits: Column) -> Column:
+    return F.replace(digits, F.lit("_"), F.lit("")).try_cast("double")
+
+
+# Patterns are tested before casting: a failing cast costs far more than a failing match.
 def decimal_or_null(c: Column) -> Column:
     """Double for text that is a plain decimal number, else NULL.
 
     A bare cast would also take Java's ``1200d`` and reject ``1_000``.
     """
-    text = F.regexp_replace(strip(c), "(?<=[0-9])_(?=[0-9])", "")
-    return F.when(text.rlike(_DECIMAL), text.try_cast("double"))
+    return F.when(c.rlike(_DECIMAL), _as_double(strip(c)))
 
 
 def parse_count(c: Column) -> Column:
     """First run of digits as an integer: ``4 Bedroom`` gives 4, no digits gives NULL."""
-    digits = F.regexp_extract(c, "([0-9]+)", 1)
-    return F.nullif(digits, F.lit("")).try_cast("int")
+    return F.when(c.rlike("[0-9]"), F.regexp_extract(c, "([0-9]+)", 1).try_cast("int"))
 
 
 def _leading_number(c: Column) -> Column:
-    return F.nullif(F.regexp_extract(c, _DIGIT_DOT_RUN, 1), F.lit("")).try_cast("double")
+    return F.when(c.rlike("[0-9.]"), F.regexp_extract(c, _DIGIT_DOT_RUN, 1).try_cast("double"))
 
 
 def _range_midpoint(c: Column) -> Column:
-    sides = F.split(c, "-")
-    middle = (decimal_or_null(F.get(sides, F.lit(0))) + decimal_or_null(F.get(sides, F.lit(1)))) / 2.0
-    return F.when(F.size(sides) == 2, middle)
+    low, high = (_as_double(F.regexp_extract(c, _RANGE, side)) for side in (1, 2))
+    return F.when(F.contains(c, F.lit("-")) & c.rlike(_RANGE), (low + high) / 2.0)
 
 
 def _unit_factor(c: Column) -> Column:
@@ -83,7 +95,6 @@ def _unit_factor(c: Column) -> Column:
 
 def parse_area(c: Column) -> Column:
     """Area text to square feet: number, ``a - b`` midpoint, number with unit, or first number."""
-    c = strip(c)
     in_units = _leading_number(c) * F.coalesce(_unit_factor(c), F.lit(1.0))
     return F.coalesce(decimal_or_null(c), _range_midpoint(c), in_units)
 
@@ -94,12 +105,12 @@ def clean_status(c: Column) -> Column:
 
 
 def title_case(c: Column) -> Column:
-    """Upper-case the first letter of every run of letters (``o'neil 1st`` -> ``O'Neil 1St``)."""
-    runs = F.regexp_extract_all(c, F.lit(r"(\p{L}+|\P{L}+)"), F.lit(1))
-    cased = F.transform(
-        runs, lambda r: F.concat(F.upper(F.substring(r, 1, 1)), F.lower(F.substr(r, F.lit(2))))
-    )
-    return F.array_join(cased, "")
+    """Upper-case the first letter of every run of letters (``o'neil 1st`` -> ``O'Neil 1St``).
+
+    ``initcap`` only starts words after a space, so other word starts get a marked space first.
+    """
+    marked = F.regexp_replace(c, _INNER_WORD, _MARK)
+    return F.replace(F.initcap(marked), F.lit(_MARK), F.lit(""))
 
 
 def normalize_text(c: Column) -> Column:

@@ -23,6 +23,8 @@ SESSION_DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.serializer": "org.apache.spark.serializer.KryoSerializer",
+    # HotSpot never compiles larger methods; text parsing fused into one stage can exceed it.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
