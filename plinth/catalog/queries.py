@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -392,7 +393,7 @@ def engineer_features(spark, d):
 
 @query
 def rare_fold_fit_apply(spark, d):
-    train, test = split.train_test_split(_inputs(spark, d), LISTING_KEYS)
+    train, test = split.train_test_split(stage(_inputs(spark, d), "inputs"), LISTING_KEYS)
     folded = features.CategoryFolder(minCount=12).fit(train).transform(test)
     return tally(folded, F.col("location"))
 
@@ -427,15 +428,13 @@ def standard_scale(spark, d):
 @query
 def one_hot_active(spark, d):
     """Fit on the training side, count the active slots of the test side."""
-    train, test = split.train_test_split(_inputs(spark, d), LISTING_KEYS)
+    train, test = split.train_test_split(stage(_inputs(spark, d), "inputs"), LISTING_KEYS)
     model = features.build_feature_pipeline().fit(stage(train, "train"))
     names = features.feature_names(model)
-    values = features.vector_to_array("features")
-    numbered = F.transform(values, lambda x, i: F.struct(i.alias("slot"), x.alias("x")))
-    cells = model.transform(test).select(F.inline(F.filter(numbered, lambda c: c.x == 1.0)))
-    # The slot table is as wide as the model.
-    slots = spark.createDataFrame([(i, n) for i, n in enumerate(names) if n.startswith("cat__")], "slot int, raw_feature string")
-    return tally(cells.join(F.broadcast(slots), "slot"), F.col("raw_feature"))
+    # Counts of non-zeros stay sparse; the result is one number per slot of the model.
+    active = model.transform(test).agg(Summarizer.numNonZeros(F.col("features")).alias("hits")).first().hits
+    hot = [(n, int(hits)) for n, hits in zip(names, active) if n.startswith("cat__") and hits]
+    return spark.createDataFrame(hot, "raw_feature string, n long")
 
 
 @query

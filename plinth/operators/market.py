@@ -68,7 +68,7 @@ def location_statistics(
     """
     if by not in df.columns or price not in df.columns:
         return {}
-    stats = group_statistics(with_unit_price(df, price, size), by, price, **sizing)
+    stats = stage(group_statistics(with_unit_price(df, price, size), by, price, **sizing), "groups")
     qualified = with_support(stats, min_listings)
     counts = stats.agg(
         F.count(F.lit(1)).alias("total_unique"),

@@ -65,14 +65,15 @@ def quantiles(
     Returns ``(*by, column_name, n, q, *extra)`` with ``q`` aligned to ``probs`` (ascending).
     ``extra`` holds further aggregates over ``value`` and the ``carry`` columns; they ride
     along in the first scan.  Rows with a NULL group key are left out.  ``df`` is counted
-    and then scanned up to twice, so stage it first if it is expensive.
+    and then scanned up to twice, so stage it first if it is expensive; ``small_rows=0``
+    leaves the count out and goes straight to the large-input plan.
     """
     probs = sorted(probs)
     extra = dict(extra or {})
     keys = [*by, "column_name"]
     long = long_values(df, columns, by, carry)
     extras = [c.alias(name) for name, c in extra.items()]
-    if df.count() <= small_rows:
+    if small_rows and df.count() <= small_rows:
         at = F.array(*[F.lit(float(p)) for p in probs])
         return long.groupBy(*keys).agg(
             F.count("value").alias("n"), F.percentile("value", at).alias("q"), *extras
