@@ -39,6 +39,11 @@ def dataset_overview(df: DataFrame) -> dict:
     }
 
 
+def preview(df: DataFrame, n: int = 5) -> DataFrame:
+    """A few rows for display."""
+    return df.limit(n)
+
+
 def target_statistics(df: DataFrame, target: str = TARGET, **sizing) -> DataFrame:
     """One row: centre, spread, shape of the target, and the skewness of log1p of its positive values."""
     if target not in df.columns:
