@@ -29,7 +29,7 @@ from plinth.llm.shared import bounded_batches, texts_of
 from plinth.staging import stage
 
 MAX_PATTERN_BYTES = 8 << 20
-CARRIED = "_dc_text string, _dc_hit array<int>, _dc_items array<string>"
+CARRIED = "_dc_hit array<int>, _dc_items array<string>"
 RESULT = "n_words long, n_hit long, item_ids array<string>, spans array<struct<start:int,end:int>>"
 
 # Bytes that separate words become a space, A-Z become a-z, all others stay.
@@ -130,7 +130,7 @@ def spans_of(text: str, hit: set[int]) -> list[dict[str, int]]:
     return spans
 
 
-def _scan(source: DataFrame, patterns: list, names: list[str], last: bool) -> DataFrame:
+def _scan(source: DataFrame, patterns: list, names: list[str], text_col: str, last: bool) -> DataFrame:
     """One pass over the documents; all but the last carry text, hits and items on to the next."""
     shared = source.sparkSession.sparkContext.broadcast(patterns)
     carried = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields if f.name in names)
@@ -138,7 +138,7 @@ def _scan(source: DataFrame, patterns: list, names: list[str], last: bool) -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             automaton = _built(shared)
-            texts = texts_of(batch, "_dc_text")
+            texts = texts_of(batch, text_col)
             hits, items, n_words = batch.column("_dc_hit").to_pylist(), batch.column("_dc_items").to_pylist(), []
             for i, text in enumerate(texts):
                 n, hit, ids = scan_text(text, automaton)
@@ -156,12 +156,13 @@ def _scan(source: DataFrame, patterns: list, names: list[str], last: bool) -> Da
                 }
             else:
                 columns |= {
-                    "_dc_text": batch.column("_dc_text"), "_dc_hit": pa.array(hits, pa.list_(pa.int32())),
+                    **({} if text_col in names else {text_col: batch.column(text_col)}), "_dc_hit": pa.array(hits, pa.list_(pa.int32())),
                     "_dc_items": pa.array(items, pa.list_(pa.string())),
                 }
             yield pa.record_batch(columns)
 
-    return source.mapInArrow(run, ", ".join(filter(None, [carried, RESULT if last else CARRIED])))
+    on = CARRIED if text_col in names else f"{text_col} string, {CARRIED}"
+    return source.mapInArrow(run, ", ".join(filter(None, [carried, RESULT if last else on])))
 
 
 def contamination(
@@ -174,12 +175,14 @@ def contamination(
     """
     bounded_batches(docs.sparkSession)
     names = [c for c in (docs.columns if keep is None else keep) if c not in ("n_words", "n_hit", "item_ids", "spans")]
+    own = [] if text_col in names else [F.col(text_col).alias("_dc_text")]  # a kept text need not travel twice
+    text = text_col if text_col in names else "_dc_text"
     out = docs.select(
-        *names, F.col(text_col).alias("_dc_text"), F.expr("cast(array() as array<int>)").alias("_dc_hit"),
+        *names, *own, F.expr("cast(array() as array<int>)").alias("_dc_hit"),
         F.expr("cast(array() as array<string>)").alias("_dc_items"),
     )
     for last, patterns in _pattern_lists(item_windows(items, item_id, item_text, width)):
-        out = _scan(out, patterns, names, last)
+        out = _scan(out, patterns, names, text, last)
         if not last:
             out = stage(out, "scanned")
     return out

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plinth.llm import decontamination, line_dedup, packing, token_store
+from plinth.llm import decontamination, jaccard_join, language_id, line_dedup, packing, quality_model, token_store
 from plinth.staging import scratch_path
 
 
@@ -35,6 +35,28 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _fold(modulus: int) -> Column:
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    network = language_id.fit(docs, usable=_fold(4) != 2)
+    out = language_id.identify(docs.select("doc_id", "text"), network, keep=["doc_id"])
+    return out.select("doc_id", (_fold(4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+def op8_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    trees = quality_model.fit(docs, _table(spark, sf_dir, "labels"), usable=_fold(3) != 1)
+    out = quality_model.score(docs, trees, keep=["doc_id"])
+    return out.select("doc_id", (_fold(3) == 1).alias("held_out"), "score", "predicted")
+
+
 def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "token-store")
     token_store.write_tokens(_table(spark, sf_dir, "documents"), path)
@@ -46,5 +68,8 @@ def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_line_dedup": op1_line_dedup,
         "op2_packing": op2_packing,
         "op3_decontamination": op3_decontamination,
+        "op4_language_id": op4_language_id,
+        "op6_ngram_jaccard": op6_ngram_jaccard,
+        "op8_quality_model": op8_quality_model,
         "op9_token_store": op9_token_store,
     }
