@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import shutil
+import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -13,8 +16,24 @@ ASCII_SPACE = " \t\n\x0b\x0c\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
+_SHIPPED: set[str] = set()
+
+
+def _ship_package(spark: SparkSession) -> None:
+    """Send this package to the workers once, for sessions started without ``--py-files``."""
+    app = spark.sparkContext.applicationId
+    if app not in _SHIPPED:
+        package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+        base = os.path.join(tempfile.mkdtemp(), "plinth")  # read on the driver alone, which sends it out
+        spark.sparkContext.addPyFile(
+            shutil.make_archive(base, "zip", os.path.dirname(package), os.path.basename(package))
+        )
+        _SHIPPED.add(app)
+
+
 def bounded_batches(spark: SparkSession) -> None:
     """Hold Arrow batches to a size that long texts cannot blow up."""
+    _ship_package(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
