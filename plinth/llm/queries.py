@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plinth.llm import decontamination, jaccard_join, language_id, line_dedup, packing, quality_model, token_store
+from plinth.llm import (
+    decontamination, html_extract, jaccard_join, language_id, license_scan, line_dedup, packing, quality_model,
+    quality_rules, token_store,
+)
 from plinth.staging import scratch_path
 
 
@@ -46,10 +49,23 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (_fold(4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return quality_rules.judge(docs, _table(spark, sf_dir, "labels")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+        F.array_join("rejected_by", ",").alias("rejected_by"),
+    )
+
+
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op7_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    return html_extract.extract(pages, keep=["page_id", "url"]).withColumn("n_chars", F.char_length("text").cast("long"))
+
+
 def op8_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     trees = quality_model.fit(docs, _table(spark, sf_dir, "labels"), usable=_fold(3) != 1)
@@ -63,13 +79,20 @@ def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read_tokens(spark, path, with_ids=False)
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(_table(spark, sf_dir, "documents"))
+
+
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_line_dedup": op1_line_dedup,
         "op2_packing": op2_packing,
         "op3_decontamination": op3_decontamination,
         "op4_language_id": op4_language_id,
+        "op5_quality_rules": op5_quality_rules,
         "op6_ngram_jaccard": op6_ngram_jaccard,
+        "op7_html_extract": op7_html_extract,
         "op8_quality_model": op8_quality_model,
         "op9_token_store": op9_token_store,
+        "op10_license_scan": op10_license_scan,
     }
