@@ -35,7 +35,7 @@ from plinth.staging import stage
 
 SCALE_BITS = 20
 LOW = np.uint64(1 << 31)
-LANES, CHECKPOINT_STEPS, BLOCK_IDS = 512, 256, 1 << 18
+LANES, CHECKPOINT_STEPS, BLOCK_IDS = 1024, 256, 1 << 19
 _MASK, _WORD, _SCALE = np.uint64((1 << SCALE_BITS) - 1), np.uint64(32), np.uint64(SCALE_BITS)
 
 
@@ -72,8 +72,8 @@ class Model:
             full = x >= f << np.uint64(43)  # (LOW >> SCALE_BITS) << 32 per unit of frequency
             words[step] = x[full].astype(np.uint32)
             x = np.where(full, x >> _WORD, x)
-            quotient, rest = np.divmod(x, f)
-            state[: len(symbols)] = (quotient << _SCALE) + rest + self.start[symbols]
+            quotient = x // f
+            state[: len(symbols)] = (quotient << _SCALE) + (x - quotient * f) + self.start[symbols]
             if step % every == 0:
                 states.append(state.copy())
         at = np.concatenate([[0], np.cumsum([len(w) for w in words])]).astype(np.int64)
@@ -130,8 +130,10 @@ def _counts(ids: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in batches:
-            for blob, width in zip(batch.column("ids").to_pylist(), batch.column("width").to_pylist()):
-                one = np.bincount(np.frombuffer(blob, f"<u{width}"), minlength=len(total))
+            if batch.num_rows:
+                width = batch.column("width")[0].as_py()
+                flat = np.frombuffer(b"".join(batch.column("ids").to_pylist()), f"<u{width}")
+                one = np.bincount(flat, minlength=len(total))
                 one[: len(total)] += total
                 total = one
         token = np.flatnonzero(total)

@@ -14,7 +14,7 @@ import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
-CACHE_PIECES = 600_000
+CACHE_PIECES = 1_200_000
 
 # One word of Latin letters, then a run of ASCII signs that never joins letters: two units of every pre-tokenizer here.
 _PLAIN = re.compile("([A-Za-z\\u00c0-\\u00d6\\u00d8-\\u00f6\\u00f8-\\u00ff]+)([.,;:!?|#$%&*]*)")
