@@ -1,11 +1,11 @@
 """Exact Jaccard self-join on word shingles with token-combination prefixes.
 
 1. A document becomes the set of its shingle hashes; equal sets are one class.
-2. Shingles are counted by class.  Each task counts a chunk of documents on its own and
-   ships one compressed run for each hash range; a shingle that many classes of a chunk
-   hold travels as a mark only, so no range gathers a frequent shingle's documents.
+2. Shingles are counted.  Each task counts a chunk of documents on its own, each class
+   once, and ships one compressed run for each hash range; a shingle that many classes of a
+   chunk hold travels as a mark only, so no range gathers a frequent shingle's documents.
    Shingles of a single class can match nothing and go no further.
-3. Shingles are ordered by (class count, hash), rarest first.  If two sets are similar, at
+3. Shingles are ordered by (count, hash), rarest first.  If two sets are similar, at
    most ``e`` members of one are missing in the other.  The prefix of a set is extended
    until it holds ``e + 1`` units: a rare shingle is a unit and is indexed alone; frequent
    shingles fall into sub-classes by hash, of which each member but the first is a unit,
@@ -15,7 +15,7 @@
    are pairs across components, which are all verified.  So a group of n near copies costs
    about n checks, and no link between different components is lost.
 
-Verification counts common members exactly (of 64-bit hashes).
+Verification counts common members exactly (of 56-bit hashes, for a pair of texts).
 
 Defined results: null, empty and wordless texts have no set and link with nothing; a text
 with fewer words than a shingle has one member, the whole sequence; rows with equal text
@@ -40,12 +40,13 @@ from plinth.llm.shared import bounded_batches, texts_of
 from plinth.staging import stage
 
 CHUNK_MEMBERS, CHUNK_DOCS = 1_500_000, 50_000  # of one task's counting chunk
-RANGE_MEMBERS = 1_500_000  # of one hash range
+RANGE_MEMBERS = 4_000_000  # of one hash range
 HOT_IN_CHUNK = 16  # classes of a chunk from which a shingle travels as a mark
-FREQUENT = 64  # classes from which a shingle is indexed by pairs
-HOT = np.uint32(0xFFFFFFFF)
+FREQUENT = 64  # occurrences from which a shingle is indexed by pairs
+HOT = 0xFFFFFFFF
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+_SPARE = np.uint64(8)  # hashes have 56 bits, so that differences of sorted ones fit in 5 bytes
 _GOLDEN, _MIX1, _MIX2 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
 
@@ -68,7 +69,7 @@ def shingle_sets(texts: list[str], width: int) -> list[np.ndarray]:
     rolled = np.zeros(count, np.uint64)
     for j in range(width):
         rolled += hashes[j : j + count] * weights[j]
-    rolled = _mixed(rolled)
+    rolled = _mixed(rolled) >> _SPARE
     sets = []
     for w, end in zip(words, ends):
         start = end - len(w)
@@ -76,7 +77,7 @@ def shingle_sets(texts: list[str], width: int) -> list[np.ndarray]:
             sets.append(np.unique(rolled[start : end - width + 1]))
         elif w:
             whole = (hashes[start:end] * weights[: len(w)]).sum(keepdims=True) + np.uint64(len(w))
-            sets.append(_mixed(_mixed(whole)))
+            sets.append(_mixed(_mixed(whole)) >> _SPARE)
         else:
             sets.append(np.zeros(0, np.uint64))
     return sets
@@ -107,10 +108,9 @@ class _Chunk:
             self.sets.append(members)
             self.members += len(members)
 
-    def rows(self, ranges: int, home: int, id_type: pa.DataType) -> pa.RecordBatch:
-        """One row for each hash range, and one with the documents and the hot members, in range ``home``."""
-        classes = np.frombuffer(b"".join(self.number), "<u8").reshape(-1, 2)
-        sizes = np.array([len(s) for s in self.sets], np.uint32)
+    def rows(self, ranges: int, home: int, chunk: int, id_type: pa.DataType) -> pa.RecordBatch:
+        """One row for each hash range; documents, classes and frequent members go to range ``home``."""
+        sizes = np.array([len(x) for x in self.sets], np.int64)
         member = np.concatenate(self.sets) if self.sets else np.zeros(0, np.uint64)
         owner = np.repeat(np.arange(len(self.sets), dtype=np.uint16), sizes)
         order = np.argsort(member, kind="stable")
@@ -119,94 +119,76 @@ class _Chunk:
         run = np.diff(np.append(first, len(member)))
         hot = np.repeat(run >= HOT_IN_CHUNK, run)
         marks = member[first[run >= HOT_IN_CHUNK]]
-        hot_member, hot_owner = member[hot], owner[hot]
+        whole = {
+            "docs": self.docs, "doc_class": b"".join(c or bytes(16) for c in self.doc_class),
+            "doc_n": np.array(self.doc_n, "<u4").tobytes(), "class": b"".join(self.number),
+            "size": sizes.astype("<u4").tobytes(), "hot": member[hot].tobytes(), "hot_owner": owner[hot].tobytes(),
+        }
         member, owner = member[~hot], owner[~hot]
-        limits = _range_of(member, ranges)
-        mark_range = _range_of(marks, ranges)
-        out = []
+        limits, mark_range = _range_of(member, ranges), _range_of(marks, ranges)
+        out = [{"range": home, "chunk": chunk, **whole}]
         for r in np.unique(np.concatenate([limits, mark_range])):
             a, b = np.searchsorted(limits, [r, r + 1])
-            used, local = np.unique(owner[a:b], return_inverse=True)
-            out.append((
-                int(r), member[a:b].tobytes(), local.astype("<u2").tobytes(), classes[used].tobytes(),
-                sizes[used].tobytes(), marks[mark_range == r].tobytes(), None, None, None,
-            ))
-        by_owner = np.argsort(hot_owner, kind="stable")
-        hot_member, hot_owner = hot_member[by_owner], hot_owner[by_owner]
-        used, counts = np.unique(hot_owner, return_counts=True)
-        hot_rows = np.concatenate([sizes[used], counts.astype(np.uint32)]).tobytes() + hot_member.tobytes()
-        doc_classes = b"".join(c or bytes(16) for c in self.doc_class)
-        out.append((
-            home, None, None, classes[used].tobytes(), hot_rows, None, self.docs, doc_classes,
-            np.array(self.doc_n, "<u4").tobytes(),
-        ))
-        kinds = [pa.int32(), *[pa.binary()] * 5, pa.list_(id_type), pa.binary(), pa.binary()]
-        names = ["range", "member", "owner", "class", "size", "mark", "docs", "doc_class", "doc_n"]
-        return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
+            out.append({
+                "range": int(r), "chunk": chunk, "member": _short(member[a:b]), "owner": owner[a:b].tobytes(),
+                "mark": marks[mark_range == r].tobytes(),
+            })
+        kinds = {"range": pa.int32(), "chunk": pa.int64(), "docs": pa.list_(id_type)}
+        return pa.record_batch({c: pa.array([x.get(c) for x in out], kinds.get(c, pa.binary())) for c in CHUNK_COLUMNS})
+
+
+CHUNK_COLUMNS = (
+    "range", "chunk", "member", "owner", "mark", "docs", "doc_class", "doc_n", "class", "size", "hot", "hot_owner",
+)
+
+
+def _short(members: np.ndarray) -> bytes:
+    """Sorted hashes as differences of 5 bytes, or of 8 where one is larger; the first byte tells."""
+    steps = np.diff(members, prepend=np.uint64(0)).astype("<u8")
+    width = 5 if not len(steps) or steps[1:].max(initial=0) < 1 << 40 else 8
+    start = members[:1].astype("<u8").tobytes()
+    return bytes([width]) + start + steps[1:].view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+
+
+def _long(data: bytes) -> np.ndarray:
+    if len(data) < 9:
+        return np.zeros(0, np.uint64)
+    width = data[0]
+    steps = np.zeros(((len(data) - 9) // width + 1, 8), np.uint8)
+    steps[0] = np.frombuffer(data, np.uint8, 8, 1)
+    steps[1:, :width] = np.frombuffer(data, np.uint8, offset=9).reshape(-1, width)
+    return np.cumsum(steps.view("<u8")[:, 0], dtype=np.uint64)
 
 
 def _range_of(members: np.ndarray, ranges: int) -> np.ndarray:
-    return ((members >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
-
-
-def _class_numbers(classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A number for each of the 128-bit classes (rows of two longs), and a place where each number is found."""
-    order = np.lexsort((classes[:, 0], classes[:, 1]))
-    ordered = classes[order]
-    new = np.concatenate([[True], (ordered[1:] != ordered[:-1]).any(axis=1)]) if len(order) else np.zeros(0, bool)
-    numbers = np.empty(len(order), np.int64)
-    numbers[order] = np.cumsum(new) - 1
-    return numbers, order[new]
-
-
-def _shared_members(table: pa.Table) -> Iterator[tuple[bytes, int, bytes, bytes]]:
-    """(class, size, members, class counts) of a hash range: the members that several classes hold."""
-    members, owners, classes, sizes, marks, at = [], [], [], [], [], 0
-    columns = [table.column(c).to_pylist() for c in ("member", "owner", "class", "size", "mark")]
-    for member, owner, cls, size, mark in zip(*columns):
-        if member is None:
-            known = np.frombuffer(cls, "<u8").reshape(-1, 2)
-            two = np.frombuffer(size, "<u4", 2 * len(known))
-            hot = np.frombuffer(size, "<u8", offset=8 * len(known))
-            pieces = np.split(hot, np.cumsum(two[len(known) :])[:-1]) if len(known) else []
-            for c, n, piece in zip(known, two, pieces):
-                yield c.tobytes(), int(n), piece.tobytes(), np.full(len(piece), HOT).tobytes()
-            continue
-        members.append(np.frombuffer(member, "<u8"))
-        owners.append(np.frombuffer(owner, "<u2").astype(np.int64) + at)
-        classes.append(np.frombuffer(cls, "<u8").reshape(-1, 2))
-        sizes.append(np.frombuffer(size, "<u4"))
-        marks.append(np.frombuffer(mark, "<u8"))
-        at += len(sizes[-1])
-    if not members:
-        return
-    member, owner, cls, size = (np.concatenate(x) for x in (members, owners, classes, sizes))
+    return ((members >> np.uint64(24)) * np.uint64(ranges)) >> np.uint64(32)
+
+
+def _shared_members(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(owner, member, count) of the members of a hash range that occur twice or more, and of the frequent ones."""
+    members, owners, marks = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    passed = []
+    names = ("chunk", "member", "owner", "mark", "hot", "hot_owner")
+    for chunk, member, owner, mark, hot, hot_owner in zip(*(table.column(c).to_pylist() for c in names)):
+        if hot is not None:
+            passed.append((chunk << 16 | np.frombuffer(hot_owner, "<u2").astype(np.int64), np.frombuffer(hot, "<u8")))
+        if member is not None:
+            members.append(_long(member))
+            owners.append(chunk << 16 | np.frombuffer(owner, "<u2").astype(np.int64))
+            marks.append(np.frombuffer(mark, "<u8"))
+    member, owner = np.concatenate(members), np.concatenate(owners)
     mark = np.unique(np.concatenate(marks))
-    number, place = _class_numbers(cls)
     order = np.argsort(member, kind="stable")
-    member, owner = member[order], number[owner[order]]
-    same = member[1:] == member[:-1]
-    repeated = np.concatenate([[False], same]) | np.concatenate([same, [False]])
-    is_hot = np.isin(member, mark) if len(mark) else np.zeros(len(member), bool)
-    keep = repeated | is_hot
-    member, owner, is_hot = member[keep], owner[keep], is_hot[keep]
-    order = np.lexsort((owner, member))
-    member, owner, is_hot = member[order], owner[order], is_hot[order]
-    new = np.ones(len(member), bool)
-    new[1:] = (member[1:] != member[:-1]) | (owner[1:] != owner[:-1])  # a class that several chunks sent
-    member, owner, is_hot = member[new], owner[new], is_hot[new]
-    first = np.ones(len(member), bool)
-    first[1:] = member[1:] != member[:-1]
-    run = np.diff(np.append(np.flatnonzero(first), len(member)))
-    count = np.where(is_hot, HOT, np.repeat(run, run)).astype("<u4")
-    keep = count >= 2
-    member, owner, count = member[keep], owner[keep], count[keep]
-    order = np.argsort(owner, kind="stable")
-    member, owner, count = member[order], owner[order], count[order]
-    start = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]])) if len(owner) else []
-    for a, b in zip(start, np.append(start[1:], len(owner))):
-        at = place[owner[a]]
-        yield cls[at].tobytes(), int(size[at]), member[a:b].tobytes(), count[a:b].tobytes()
+    member, owner = member[order], owner[order]
+    first = np.flatnonzero(np.concatenate([[True], member[1:] != member[:-1]])) if len(member) else np.zeros(0, int)
+    run = np.diff(np.append(first, len(member)))
+    count = np.where(np.isin(member[first], mark), HOT, run)
+    keep = np.repeat(count >= 2, run)
+    member, owner, count = member[keep], owner[keep], np.repeat(count, run)[keep]
+    return (
+        np.concatenate([owner, *(o for o, _ in passed)]), np.concatenate([member, *(m for _, m in passed)]).astype(np.int64),
+        np.concatenate([count, *(np.full(len(o), HOT) for o, _ in passed)]).astype(np.int64),
+    )
 
 
 def missing_allowed(n: int, percent: int) -> int:
@@ -246,7 +228,8 @@ def signatures(members: np.ndarray, counts: np.ndarray, n: int, percent: int) ->
 
 
 def _counted(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """Staged rows of two kinds: (doc_id, class, n) of each document, (class, n, members, counts) of shared members."""
+    """Staged rows of three kinds: (doc_id, class, n) of a document, (owner, class, n) of a class in a chunk,
+    (owner, member, count) of a shared member."""
     spark = docs.sparkSession
     bounded_batches(spark)
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
@@ -256,53 +239,78 @@ def _counted(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFra
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk, closed, part = _Chunk(), 0, TaskContext.get().partitionId()
+
+        def close() -> pa.RecordBatch:
+            nonlocal chunk, closed
+            out = chunk.rows(ranges, (part * 7919 + closed) % ranges, part << 16 | closed, kind)
+            chunk, closed = _Chunk(), closed + 1
+            return out
+
         for batch in batches:
             kind = batch.schema.field("doc_id").type
             ids, texts = batch.column("doc_id").to_pylist(), texts_of(batch, "text")
             for doc, members in zip(ids, shingle_sets(texts, width)):
                 chunk.add(doc, members)
                 if chunk.members >= CHUNK_MEMBERS or len(chunk.docs) >= CHUNK_DOCS:
-                    yield chunk.rows(ranges, (part * 7919 + closed) % ranges, kind)
-                    chunk, closed = _Chunk(), closed + 1
+                    yield close()
         if chunk.docs:
-            yield chunk.rows(ranges, (part * 7919 + closed) % ranges, kind)
+            yield close()
 
     def add_up(table: pa.Table) -> pa.Table:
         kind = table.schema.field("docs").type.value_type
-        rows = [(None, *row) for row in _shared_members(table)]
-        for docs_in, classes, sizes in zip(*(table.column(c).to_pylist() for c in ("docs", "doc_class", "doc_n"))):
-            for i, doc in enumerate(docs_in or ()):
-                n = int(np.frombuffer(sizes, "<u4", 1, 4 * i)[0])
-                rows.append((doc, classes[16 * i : 16 * i + 16] if n else None, n, None, None))
-        kinds = [kind, pa.binary(), pa.int32(), pa.binary(), pa.binary()]
-        columns = list(zip(*rows)) or [()] * 5
-        return pa.table([pa.array(c, k) for c, k in zip(columns, kinds)], ["doc_id", "class", "n", "members", "counts"])
-
-    runs = source.mapInArrow(
-        count,
-        "range int, member binary, owner binary, class binary, size binary, mark binary, "
-        f"docs array<{id_type}>, doc_class binary, doc_n binary",
-    )
+        docs_in, classes, sizes, owners = [], [], [], []
+        names = ("chunk", "docs", "doc_class", "doc_n", "class", "size")
+        for chunk, ids, doc_class, doc_n, cls, size in zip(*(table.column(c).to_pylist() for c in names)):
+            if ids is not None:
+                n = np.frombuffer(doc_n, "<u4").tolist()
+                docs_in += ids
+                classes += [doc_class[16 * i : 16 * i + 16] if k else None for i, k in enumerate(n)]
+                owners += [None] * len(ids)
+                m = np.frombuffer(size, "<u4").tolist()
+                docs_in += [None] * len(m)
+                classes += [cls[16 * i : 16 * i + 16] for i in range(len(m))]
+                owners += [chunk << 16 | i for i in range(len(m))]
+                sizes += n + m
+        owner, member, times = _shared_members(table)
+        rest, more = len(docs_in), len(owner)
+        return pa.table({
+            "doc_id": pa.concat_arrays([pa.array(docs_in, kind), pa.nulls(more, kind)]),
+            "class": pa.concat_arrays([pa.array(classes, pa.binary()), pa.nulls(more, pa.binary())]),
+            "n": pa.concat_arrays([pa.array(sizes, pa.int32()), pa.nulls(more, pa.int32())]),
+            "owner": pa.concat_arrays([pa.array(owners, pa.int64()), pa.array(owner)]),
+            "member": pa.concat_arrays([pa.nulls(rest, pa.int64()), pa.array(member)]),
+            "count": pa.concat_arrays([pa.nulls(rest, pa.int64()), pa.array(times)]),
+        })
+
+    types = {"range": "int", "chunk": "long", "docs": f"array<{id_type}>"}
+    runs = source.mapInArrow(count, ", ".join(f"{c} {types.get(c, 'binary')}" for c in CHUNK_COLUMNS))
     rows = runs.groupBy("range").applyInArrow(
-        add_up, f"doc_id {id_type}, class binary, n int, members binary, counts binary"
+        add_up, f"doc_id {id_type}, class binary, n int, owner long, member long, count long"
     )
     return stage(rows, "shingles")
 
 
-def _indexed(shared: DataFrame, percent: int) -> DataFrame:
+def _indexed(counted: DataFrame, percent: int) -> DataFrame:
     """Staged (class, n, own, members, entries) of the sets that can be similar to another."""
-    sets = shared.groupBy("class").agg(
-        F.first("n").alias("n"), F.collect_list(F.struct("members", "counts")).alias("parts")
+    sets = counted.where("owner IS NOT NULL").groupBy("owner").agg(
+        F.max("class").alias("class"), F.max("n").alias("n"), F.count("member").alias("shared"),
+        F.collect_list(F.when(F.col("member").isNotNull(), F.struct("member", "count"))).alias("members"),
+    ).where(f"100L * shared >= {percent}L * n")
+    # The chunks that hold a class hold the same members with the same counts: one of them stands for all.
+    sets = sets.groupBy("class").agg(
+        F.count("*").alias("copies"), F.max("n").alias("n"), F.min_by("members", "owner").alias("members")
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for cls, n, parts in zip(*(batch.column(c).to_pylist() for c in ("class", "n", "parts"))):
-                members = np.frombuffer(b"".join(p["members"] for p in parts), "<u8")
-                counts = np.frombuffer(b"".join(p["counts"] for p in parts), "<u4")
+            for cls, copies, n, pairs in zip(*(batch.column(c).to_pylist() for c in ("class", "copies", "n", "members"))):
+                members = np.array([x["member"] for x in pairs], np.uint64)
+                counts = np.array([x["count"] for x in pairs], np.int64)
                 members, first = np.unique(members, return_index=True)
-                entries = signatures(members, counts[first], n, percent)
+                counts = counts[first]
+                members, counts = members[counts > copies], counts[counts > copies]  # others are this class's alone
+                entries = signatures(members, counts, n, percent)
                 if len(entries):
                     rows.append((cls, n, n - len(members), members.tobytes(), entries.astype(np.int64)))
             columns = list(zip(*rows)) or [()] * 5
@@ -370,8 +378,8 @@ def near_duplicates(
 ) -> DataFrame:
     """(id, n_shingles, component_id) of every row: links hold where 100 * common >= percent * union."""
     counted = _counted(docs, id_col, text_col, width)
-    members = counted.where("members IS NULL").select("doc_id", "class", "n")
-    sets = _indexed(counted.where("members IS NOT NULL").select("class", "n", "members", "counts"), percent)
+    members = counted.where("owner IS NULL").select("doc_id", "class", "n")
+    sets = _indexed(counted, percent)
     roots = similar_classes(sets, percent).select(F.col("node").alias("class"), "root")
     placed = members.join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
     least = placed.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("component_id"))
