@@ -11,9 +11,10 @@
    shingles fall into sub-classes by hash, of which each member but the first is a unit,
    and are indexed by pairs within a sub-class.  Similar sets then share an index entry.
 4. Under each entry all sets are verified against the most typical one, the set with the
-   fewest shingles of its own.  Sets of one component need no further check; what is left
-   are pairs across components, which are all verified.  So a group of n near copies costs
-   about n checks, and no link between different components is lost.
+   fewest shingles of its own.  Sets of one component need no further check.  What is left
+   are pairs across components; what both have in common with the typical set and with any
+   set at all bounds what they share, and the pairs within the bound are all verified.  So a
+   group of n near copies costs about n checks, and no link between components is lost.
 
 Verification counts common members exactly (of 56-bit hashes, for a pair of texts).
 
@@ -322,52 +323,78 @@ def _indexed(counted: DataFrame, percent: int) -> DataFrame:
     return stage(sets.mapInArrow(run, schema), "sets")
 
 
-def _may_link(percent: int) -> str:
-    """Sizes and members of their own leave room for a similarity of ``percent``."""
-    most = "least(x.n - x.own, y.n - y.own)"
-    return f"100L * {most} >= {percent}L * (x.n + y.n - {most})"
+def _may_link(common: str, percent: int) -> str:
+    """With at most ``common`` members in common, sets of x.n and y.n may reach ``percent``."""
+    return f"100L * {common} >= {percent}L * (x.n + y.n - {common})"
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes whose sets are similar."""
+# Members of its own are in no other set.
+_SHARED_AT_MOST = "least(x.n - x.own, y.n - y.own)"
+# Of the typical set both hold at most the smaller part, and of the rest at most the smaller rest.
+_BESIDE_TYPICAL = (
+    f"coalesce(least(x.common, y.common) + least(x.n - x.own - x.common, y.n - y.own - y.common), {_SHARED_AT_MOST})"
+)
+
+
+def _common(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b, common, n_a, n_b): the number of common members of the pairs (a, b) of classes."""
     a = sets.select(F.col("class").alias("a"), F.col("n").alias("n_a"), F.col("members").alias("m_a"))
     b = sets.select(F.col("class").alias("b"), F.col("n").alias("n_b"), F.col("members").alias("m_b"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good = []
-            for n_a, m_a, n_b, m_b in zip(*(batch.column(c).to_pylist() for c in ("n_a", "m_a", "n_b", "m_b"))):
-                common = len(np.intersect1d(np.frombuffer(m_a, "<u8"), np.frombuffer(m_b, "<u8"), assume_unique=True))
-                good.append(100 * common >= percent * (n_a + n_b - common))
-            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+            common = [
+                len(np.intersect1d(np.frombuffer(m_a, "<u8"), np.frombuffer(m_b, "<u8"), assume_unique=True))
+                for m_a, m_b in zip(batch.column("m_a").to_pylist(), batch.column("m_b").to_pylist())
+            ]
+            columns = {c: batch.column(c) for c in ("a", "b", "n_a", "n_b")}
+            yield pa.record_batch(columns | {"common": pa.array(common, pa.int32())})
 
-    return pairs.join(a, "a").join(b, "b").mapInArrow(run, "a binary, b binary")
+    return pairs.join(a, "a").join(b, "b").mapInArrow(run, "a binary, b binary, n_a int, n_b int, common int")
 
 
 def similar_classes(sets: DataFrame, percent: int) -> DataFrame:
     """(node, root) for all classes linked with another one."""
+    similar = f"100L * common >= {percent}L * (n_a + n_b - common)"
     band = F.floor(F.log(F.col("n")) / F.log(F.lit(100 / percent))).cast("int")  # similar sizes: same or next band
-    entries = sets.select("class", "n", "own", band.alias("band"), F.explode("entries").alias("entry"))
+    # Two sets often meet under many entries: the least that is among the first few of both speaks for all.
+    few = F.slice(F.array_sort("entries"), 1, 12).alias("few")
+    entries = sets.select("class", "n", "own", band.alias("band"), few, F.explode("entries").alias("entry"))
     entries = entries.withColumn("key", F.explode(F.array("band", F.col("band") + 1)))
-    typical = entries.groupBy("entry", "key").agg(
-        F.min(F.struct("own", "class", "n")).alias("t"), F.count("*").alias("size")
-    ).where("size > 1").select("entry", "key", F.col("t.class").alias("class"), F.col("t.n").alias("n"), F.col("t.own").alias("own"))
+    typical = stage(
+        entries.groupBy("entry", "key").agg(F.min(F.struct("own", "class", "n")).alias("t"), F.count("*").alias("size"))
+        .where("size > 1")
+        .select("entry", "key", F.col("t.class").alias("class"), F.col("t.n").alias("n"), F.col("t.own").alias("own")),
+        "typical",
+    )
+    ends = [F.least("x.class", "y.class").alias("a"), F.greatest("x.class", "y.class").alias("b")]
     star = entries.alias("x").join(typical.alias("y"), ["entry", "key"]).where(
-        f"x.class != y.class AND {_may_link(percent)}"
-    ).select(F.least("x.class", "y.class").alias("a"), F.greatest("x.class", "y.class").alias("b")).distinct()
-    star = stage(star, "star-pairs")
-    links = stage(_verified(star, sets, percent), "links")
+        f"x.class != y.class AND {_may_link(_SHARED_AT_MOST, percent)}"
+    ).select(*ends).distinct()
+    star = stage(_common(star, sets), "star-pairs")
+    links = star.where(similar).select("a", "b")
     roots = components(links)
 
     known = roots.select(F.col("node").alias("class"), "root")
     placed = entries.join(known, "class", "left").withColumn("root", F.coalesce("root", "class"))
     mixed = placed.groupBy("entry", "key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi")
-    open_entries = placed.join(mixed.select("entry", "key"), ["entry", "key"])
+    centre = typical.select("entry", "key", F.col("class").alias("centre"))
+    checked = star.select("a", "b", "common")
+    # The typical set itself is settled with all others of its entry.
+    open_entries = placed.join(mixed.select("entry", "key"), ["entry", "key"]).join(centre, ["entry", "key"]).where(
+        "class != centre"
+    ).withColumns({"a": F.least("class", "centre"), "b": F.greatest("class", "centre")})
+    open_entries = open_entries.join(checked, ["a", "b"], "left").select(
+        "entry", "key", "class", "n", "own", "band", "root", "common", "few"
+    )
+    open_entries = stage(open_entries, "open-entries")
     across = open_entries.alias("x").join(open_entries.alias("y"), ["entry", "key"]).where(
-        f"x.class < y.class AND x.root != y.root AND key = greatest(x.band, y.band) AND {_may_link(percent)}"
+        f"x.class < y.class AND x.root != y.root AND key = greatest(x.band, y.band)"
+        f" AND {_may_link(_SHARED_AT_MOST, percent)} AND {_may_link(_BESIDE_TYPICAL, percent)}"
+        f" AND entry = coalesce(array_min(array_intersect(x.few, y.few)), entry)"
     ).select(F.col("x.class").alias("a"), F.col("y.class").alias("b")).distinct()
-    across = across.join(star, ["a", "b"], "left_anti")
-    late = stage(_verified(across, sets, percent), "late-links")
+    across = across.join(checked, ["a", "b"], "left_anti")
+    late = stage(_common(across, sets).where(similar).select("a", "b"), "late-links")
     if late.limit(1).count() == 0:
         return roots
     return components(links.unionAll(late))
