@@ -56,7 +56,8 @@ def copies_per_row(df: DataFrame, subset: Sequence[str] | None = None) -> DataFr
 
     Equal rows meet in the map-side combine, so one row repeated a billion times is cheap.
     """
-    return df.groupBy(*(subset or df.columns)).agg(F.count(F.lit(1)).alias("copies"))
+    names = [F.col("`" + c.replace("`", "``") + "`") for c in subset or df.columns]
+    return df.groupBy(*names).agg(F.count(F.lit(1)).alias("copies"))
 
 
 def duplicates(df: DataFrame, subset: Sequence[str] | None = None) -> DataFrame:

@@ -84,3 +84,8 @@ def test_validation_report(tidy, dirty):
 def test_custom_rule_with_null_is_no_violation(spark):
     df = spark.createDataFrame([(None,), (5,)], "x int")
     assert quality.impossible_values(df, {"big": F.col("x") > 1}).first().violations == 1
+
+
+def test_duplicates_of_a_column_name_with_a_dot(spark):
+    df = spark.createDataFrame([(1, 2), (1, 2), (1, 3)], ["a.b", "c"])
+    assert tuple(quality.duplicates(df).first())[:2] == (3, 1)
