@@ -35,6 +35,7 @@ from plinth.staging import stage
 
 SCALE_BITS = 20
 LOW = np.uint64(1 << 31)
+STORE_PIECES = 1_200_000  # of the piece table: nothing else fills the worker's memory here
 LANES, CHECKPOINT_STEPS, BLOCK_IDS = 1024, 256, 1 << 19
 _MASK, _WORD, _SCALE = np.uint64((1 << SCALE_BITS) - 1), np.uint64(32), np.uint64(SCALE_BITS)
 
@@ -110,7 +111,7 @@ def _token_ids(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, end_
     bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer)
+        encode = encoder(tokenizer, STORE_PIECES)
         end = np.array([end_id], encode.dtype).tobytes()
         for batch in batches:
             ids = [encode.encode(text) + end for text in texts_of(batch, "text")]

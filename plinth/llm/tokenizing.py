@@ -14,7 +14,7 @@ import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
-CACHE_PIECES = 1_200_000
+CACHE_PIECES = 400_000  # some 200 bytes each in a Python worker
 
 # One word of Latin letters, then a run of ASCII signs that never joins letters: two units of every pre-tokenizer here.
 _PLAIN = re.compile("([A-Za-z\\u00c0-\\u00d6\\u00d8-\\u00f6\\u00f8-\\u00ff]+)([.,;:!?|#$%&*]*)")
@@ -107,9 +107,9 @@ class PieceEncoder:
 _ENCODERS: dict[str, PieceEncoder] = {}
 
 
-def encoder(name_or_path: str) -> PieceEncoder:
+def encoder(name_or_path: str, cache_pieces: int = CACHE_PIECES) -> PieceEncoder:
     """The encoder of a vocabulary file, made once in each Python worker."""
     if name_or_path not in _ENCODERS:
         path = name_or_path if "/" in name_or_path else public_tokenizers.path(name_or_path)
-        _ENCODERS[name_or_path] = PieceEncoder(path)
+        _ENCODERS[name_or_path] = PieceEncoder(path, cache_pieces)
     return _ENCODERS[name_or_path]
