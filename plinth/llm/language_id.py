@@ -26,6 +26,8 @@ from plinth.llm.shared import bounded_batches, texts_of
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
+# The sample of a language is drawn in this many parts first, so that no task meets a whole language.
+SALTS = 64
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
@@ -153,9 +155,15 @@ def fit(
     if usable is not None:
         known = known.where(usable)
     order = F.xxhash64(id_col)
-    ranked = known.select(F.col(id_col).alias("_li_id"), F.col(lang_col).alias("_li_lang"), order.alias("_li_h")).withColumn(
-        "_li_rank", F.row_number().over(Window.partitionBy("_li_lang").orderBy("_li_h", "_li_id"))
-    )
+    slim = known.select(F.col(id_col).alias("_li_id"), F.col(lang_col).alias("_li_lang"), order.alias("_li_h"))
+
+    def rank(*parts) -> Column:
+        return F.row_number().over(Window.partitionBy("_li_lang", *parts).orderBy("_li_h", "_li_id"))
+
+    # A part gives twice its share and a few more, so the parts together hold enough.
+    salted = slim.withColumn("_li_rank", rank(F.pmod("_li_h", F.lit(SALTS))))
+    salted = salted.where(F.col("_li_rank") <= 2 * per_language // SALTS + 8)
+    ranked = salted.withColumn("_li_rank", rank())
     sample = ranked.where(F.col("_li_rank") <= per_language).orderBy("_li_rank", "_li_h").limit(max_rows)
     chosen = known.select(F.col(id_col).alias("_li_id"), F.col(lang_col).alias("_li_lang"), F.col(text_col).alias("_li_text")).join(
         F.broadcast(sample.select("_li_id").distinct()), "_li_id"  # at most max_rows ids
