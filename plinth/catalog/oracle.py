@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from plinth.catalog.queries import _MEANS, _NAMES, _WEIGHTS
 from plinth.catalog.views import DIRTY_SQL, KEYED_SQL, LISTING_KEYS
-from plinth.functions.text import AREA_UNITS, FEATURE_LABELS
 
 _PLAIN = {"lineitem": "lineitem", "supplier": "supplier", "nation": "nation"}
 DIRTY = DIRTY_SQL.format(**_PLAIN)
@@ -12,6 +10,29 @@ KEYED = KEYED_SQL.format(**_PLAIN)
 KEYS = ", ".join(LISTING_KEYS)
 LINE_NUMBERS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
+# Fixed values, written out here so that a wrong one in the library shows.
+AREA_UNITS = [
+    (("sq. meter", "sq.meter"), 10.7639),
+    (("sq. yard", "sq.yard"), 9.0),
+    (("acre",), 43560.0),
+    (("guntha",), 1089.0),
+    (("perch",), 272.25),
+]
+FEATURE_LABELS = {
+    "total_sqft": "Property size",
+    "total_rooms": "Total rooms",
+    "sqft_per_bhk": "Area per BHK",
+    "bath_per_bhk": "Bathrooms per BHK",
+    "sqft_per_room": "Area per room",
+    "bhk_bath_diff": "BHK/bathroom difference",
+    "bhk": "BHK",
+    "bath": "Bathrooms",
+    "balcony": "Balconies",
+}
+_NAMES = ["num__total_sqft", "num__bath", "cat__area_type_Plot Area"]
+_WEIGHTS = [0.01, -0.5, 2.0]
+_MEANS = [25.0, 0.05, 0.5]
+
 _DECIMAL = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 
 
@@ -449,6 +470,10 @@ def statements() -> dict[str, str]:
             SELECT bhk, CAST(trunc(coalesce(bath, mb, bhk)) AS INTEGER) AS bath,
               CAST(trunc(coalesce(balcony, ml, 1)) AS INTEGER) AS balcony, count(*) AS n
             FROM p LEFT JOIN m ON bhk = g GROUP BY ALL""",
+        "dataset_overview": f"""SELECT 'total_rows' AS fact, CAST(count(*) AS VARCHAR) AS value FROM ({DIRTY}) d
+            UNION ALL VALUES ('total_columns', '9'), ('columns', '{','.join(LISTING_TYPES)}'),
+              ('numerical_columns', '{','.join(c for c, t in LISTING_TYPES.items() if t == 'double')}'),
+              ('categorical_columns', '{','.join(c for c, t in LISTING_TYPES.items() if t == 'string')}')""",
         "target_stats": target_stats("orders", "o_totalprice", 3),
         "target_stats_skewed": target_stats("events", "value", 4),
         "numeric_summary": numeric_summary("part", ["p_size", "p_retailprice"]),
@@ -462,6 +487,8 @@ def statements() -> dict[str, str]:
         "unit_price": f"SELECT l_returnflag, {r(f'sum({unit})', 3)} AS total, {r(f'max({unit})', 3)} AS highest FROM lineitem GROUP BY 1",
         "location_stats_top": group_stats("p_type", 15, "DESC"),
         "location_stats_bottom": group_stats("p_type", 15, "ASC"),
+        "brand_stats_top": group_stats("p_brand", 15, "DESC"),
+        "brand_stats_bottom": group_stats("p_brand", 15, "ASC"),
         "location_stats_counts": f"""SELECT count(*) AS total_unique, count(*) FILTER (n >= 25) AS qualified_count
             FROM (SELECT l_partkey, count(price) AS n FROM ({SALES}) s GROUP BY 1) g""",
         "location_stats_bracketed": group_stats("l_partkey", 25),
@@ -478,12 +505,17 @@ def statements() -> dict[str, str]:
         "histogram_log": histogram("SELECT ln(1 + o_totalprice) AS value FROM orders", 40),
         "histogram_in_range": histogram(
             f"SELECT price_per_sqft AS value FROM ({SALES}) s WHERE price_per_sqft BETWEEN 120000000 AND 180000000", 50, 2),
+        "histogram_median": f"SELECT 'o_totalprice' AS column_name, count(o_totalprice) AS n, {r('median(o_totalprice)')} AS median FROM orders",
+        "histogram_median_in_range": f"""SELECT 'price_per_sqft' AS column_name, count(*) AS n, {r('median(price_per_sqft)', 2)} AS median
+            FROM ({SALES}) s WHERE price_per_sqft BETWEEN 120000000 AND 180000000""",
         "box_stats": box_stats("events", "event_type", "value", 4),
         "box_stats_bracketed": box_stats("lineitem", "l_returnflag", "l_extendedprice", 3),
         "binned_scatter": f"""SELECT CAST(floor(l_quantity / 5) AS BIGINT) AS x_bin, CAST(floor(l_extendedprice / 10000) AS BIGINT) AS y_bin,
             l_returnflag, count(*) AS points, {r('avg(l_extendedprice)')} AS mean_y FROM lineitem WHERE l_quantity <= 40 GROUP BY 1, 2, 3""",
         "bar_ranking": f"""SELECT l_partkey, {r('median(price)')} AS median_value FROM ({SALES}) s GROUP BY 1
             HAVING count(*) >= 25 ORDER BY median(price) DESC, l_partkey LIMIT 15""",
+        "unit_price_ranking": f"""SELECT l_partkey, {r('median(price_per_sqft)', 2)} AS median_value FROM ({SALES}) s GROUP BY 1
+            HAVING count(*) >= 25 ORDER BY median(price_per_sqft) DESC, l_partkey LIMIT 15""",
         "engineer_features": f"SELECT *, count(*) AS n FROM ({features(PARSED)}) f GROUP BY ALL",
         "rare_fold_fit_apply": f"{train_places} SELECT {fold} AS location, count(*) AS n FROM p WHERE test GROUP BY 1",
         "median_impute": f"""WITH p AS ({PARSED}), m AS (SELECT {', '.join(f'median({c}) AS m_{c}' for c in columns4)} FROM p)
@@ -494,6 +526,9 @@ def statements() -> dict[str, str]:
             SELECT raw_feature, count(*) AS n FROM (
               SELECT 'cat__location_' || loc AS raw_feature FROM l WHERE test AND loc IN (SELECT loc FROM l WHERE NOT test)
               UNION ALL {active}) a GROUP BY 1""",
+        "separate_target": f"SELECT {KEYS}, {r('ln(1 + greatest(price, 0))')} AS label, {r('price')} AS actual FROM ({PARSED}) p",
+        "model_ready": f"""SELECT CASE WHEN place <= ceil(0.2::DOUBLE * total) THEN 'test' ELSE 'train' END AS side, count(*) AS n,
+            {r('max(price)')} AS dearest FROM ({split}) s GROUP BY 1""",
         "target_round_trip": f"""SELECT o_orderkey, {r('t', 3)} AS log_target, {r('greatest(exp(t - 1) - 1, 0)', 3)} AS restored,
             {r('v', 3)} AS clipped FROM (SELECT o_orderkey, greatest(o_totalprice - 50000, 0) AS v,
             ln(1 + greatest(o_totalprice - 50000, 0)) AS t FROM orders) x""",

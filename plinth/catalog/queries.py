@@ -232,6 +232,13 @@ def impute_group_median(spark, d):
 # --- profile --------------------------------------------------------------------------
 
 
+@query
+def dataset_overview(spark, d):
+    facts = profiling.dataset_overview(dirty_listings(spark, d))
+    rows = [(name, ",".join(v) if isinstance(v, list) else str(v)) for name, v in facts.items()]
+    return spark.createDataFrame(rows, "fact string, value string")
+
+
 @query
 def target_stats(spark, d):
     return neat(profiling.target_statistics(table(spark, d, "orders"), "o_totalprice"), 3)
@@ -284,8 +291,13 @@ def unit_price(spark, d):
     return neat(lines.groupBy("l_returnflag").agg(F.sum(price).alias("total"), F.max(price).alias("highest")), 3)
 
 
+def _market(spark, d):
+    """Joined once, read by every part of a market query."""
+    return stage(sales(spark, d), "sales")
+
+
 def _type_market(spark, d, **sizing):
-    return market.location_statistics(sales(spark, d), "p_type", 15, **sizing)
+    return market.location_statistics(_market(spark, d), "p_type", 15, **sizing)
 
 
 @query
@@ -298,26 +310,37 @@ def location_stats_bottom(spark, d):
     return neat(_type_market(spark, d)["affordable"], 2)
 
 
+@query
+def brand_stats_top(spark, d):
+    """More groups than the ranking shows."""
+    return neat(market.location_statistics(_market(spark, d), "p_brand", 15)["expensive"], 2)
+
+
+@query
+def brand_stats_bottom(spark, d):
+    return neat(market.location_statistics(_market(spark, d), "p_brand", 15)["affordable"], 2)
+
+
 @query
 def location_stats_counts(spark, d):
-    return market.location_statistics(sales(spark, d), "l_partkey", 25)["counts"]
+    return market.location_statistics(_market(spark, d), "l_partkey", 25)["counts"]
 
 
 @query
 def location_stats_bracketed(spark, d):
     """Many groups, with both large-input plans forced: bracketed quantiles, hot and cold keys apart."""
-    rows = sales(spark, d)
+    rows = _market(spark, d)
     return neat(market.location_statistics(rows, "l_partkey", 25, small_rows=0, broadcast_rows=10)["qualified"], 2)
 
 
 @query
 def market_summary(spark, d):
-    return neat(market.market_summary(sales(spark, d), "n_name"), 3)
+    return neat(market.market_summary(_market(spark, d), "n_name"), 3)
 
 
 @query
 def market_snapshot(spark, d):
-    return neat(market.market_snapshot(sales(spark, d), "n_name"), 3)
+    return neat(market.market_snapshot(_market(spark, d), "n_name"), 3)
 
 
 @query
@@ -355,6 +378,17 @@ def histogram_in_range(spark, d):
     return neat(charts.histogram(rows, "price_per_sqft", charts.UNIT_PRICE_BINS), 2)
 
 
+@query
+def histogram_median(spark, d):
+    return neat(charts.histogram_median(table(spark, d, "orders"), "o_totalprice"))
+
+
+@query
+def histogram_median_in_range(spark, d):
+    rows = market.with_unit_price(sales(spark, d)).filter(charts.in_range("price_per_sqft", (120000000, 180000000)))
+    return neat(charts.histogram_median(rows, "price_per_sqft", small_rows=0), 2)
+
+
 @query
 def box_stats(spark, d):
     return neat(charts.box_stats(table(spark, d, "events"), "event_type", "value"))
@@ -374,7 +408,12 @@ def binned_scatter(spark, d):
 
 @query
 def bar_ranking(spark, d):
-    return neat(charts.bar_ranking(sales(spark, d), "l_partkey", "price", 25))
+    return neat(charts.bar_ranking(_market(spark, d), "l_partkey", "price", 25))
+
+
+@query
+def unit_price_ranking(spark, d):
+    return neat(charts.bar_ranking(market.with_unit_price(_market(spark, d)), "l_partkey", market.UNIT_PRICE, 25), 2)
 
 
 # --- features -------------------------------------------------------------------------
@@ -393,7 +432,8 @@ def engineer_features(spark, d):
 
 @query
 def rare_fold_fit_apply(spark, d):
-    train, test = split.train_test_split(stage(_inputs(spark, d), "inputs"), LISTING_KEYS)
+    places = _inputs(spark, d).select(*LISTING_KEYS, "location")
+    train, test = split.train_test_split(stage(places, "inputs"), LISTING_KEYS)
     folded = features.CategoryFolder(minCount=12).fit(train).transform(test)
     return tally(folded, F.col("location"))
 
@@ -437,6 +477,19 @@ def one_hot_active(spark, d):
     return spark.createDataFrame(hot, "raw_feature string, n long")
 
 
+@query
+def separate_target(spark, d):
+    return neat(features.separate_target(parsed_listings(spark, d)).select(*LISTING_KEYS, "label", "actual"))
+
+
+@query
+def model_ready(spark, d):
+    """Rows of both sides of the vectorised split; the plan itself refuses non-finite vectors."""
+    ready = features.model_ready(stage(parsed_listings(spark, d), "parsed"), LISTING_KEYS)
+    sides = [ready[side].select(F.lit(side).alias("side"), "actual") for side in ("train", "test")]
+    return neat(sides[0].unionAll(sides[1]).groupBy("side").agg(F.count("actual").alias("n"), F.max("actual").alias("dearest")))
+
+
 @query
 def target_round_trip(spark, d):
     orders = table(spark, d, "orders")

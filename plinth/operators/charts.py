@@ -50,6 +50,11 @@ def histogram(df: DataFrame, column: str, bins: int, transform=None) -> DataFram
     return all_bins.join(F.broadcast(counts), "bin", "left").fillna(0, ["frequency"])
 
 
+def histogram_median(df: DataFrame, column: str, **sizing) -> DataFrame:
+    """One row ``column_name, n, median``: the line drawn into a histogram."""
+    return quantiles(df, [column], [0.5], **sizing).select("column_name", "n", F.get("q", F.lit(0)).alias("median"))
+
+
 def box_stats(df: DataFrame, by: str, value: str = TARGET, factor: float = 1.5, **sizing) -> DataFrame:
     """Per group: count, mean, quartiles and whiskers (extreme values within ``factor`` IQR of the box)."""
     stats = quantiles(df, [value], [0.25, 0.5, 0.75], by=[by], extra={"mean": F.avg("value")}, **sizing)
@@ -103,6 +108,7 @@ def chart_tables(df: DataFrame) -> dict[str, DataFrame]:
     has = set(df.columns).issuperset
     tables = {
         "price_histogram": histogram(df, TARGET, PRICE_BINS),
+        "price_median": histogram_median(df, TARGET),
         "log_price_histogram": histogram(df, TARGET, PRICE_BINS, F.log1p),
         "correlation_heatmap": correlation_matrix(df, HEATMAP_COLUMNS),
     }
@@ -116,9 +122,9 @@ def chart_tables(df: DataFrame) -> dict[str, DataFrame]:
         if has({column}):
             tables[f"price_by_{column}"] = box_stats(df, column)
     if has({UNIT_PRICE}):
-        tables["unit_price_histogram"] = histogram(
-            df.filter(in_range(UNIT_PRICE, UNIT_PRICE_RANGE)), UNIT_PRICE, UNIT_PRICE_BINS
-        )
+        shown = df.filter(in_range(UNIT_PRICE, UNIT_PRICE_RANGE))
+        tables["unit_price_histogram"] = histogram(shown, UNIT_PRICE, UNIT_PRICE_BINS)
+        tables["unit_price_median"] = histogram_median(shown, UNIT_PRICE)
     if has({"location"}):
         tables["top_price_locations"] = bar_ranking(df, "location", TARGET)
         if has({UNIT_PRICE}):

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from itertools import combinations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -115,30 +117,55 @@ def category_summary(
 def correlation_matrix(
     df: DataFrame, columns: Sequence[str] | None = None, method: str = "pearson"
 ) -> DataFrame:
-    """``(col_a, col_b, corr)`` over all ordered pairs, each on its pair-complete rows, in one aggregate.
+    """``(col_a, col_b, corr)`` over all ordered pairs, each on its pair-complete rows.
 
-    The diagonal is 1; a column that is constant on the pair's rows gives NULL.
+    The diagonal is 1; a column that is constant on the pair's rows gives NULL. Each task adds up
+    masked products of its batches, so the plan is the same for any number of columns.
     """
     columns = numeric_columns(df) if columns is None else [c for c in columns if c in df.columns]
     if method == "spearman":
         return _spearman(df, columns)
     if method != "pearson":
         raise ValueError(f"unknown correlation method: {method}")
-    x = {c: to_number(df, c) for c in columns}
-    aggregates = []
-    for a, b in [*combinations(columns, 2), *[(c, c) for c in columns]]:
-        both = x[a].isNotNull() & x[b].isNotNull()
-        spread = F.stddev_pop(F.when(both, x[a])) * F.stddev_pop(F.when(both, x[b]))
-        aggregates.append(F.try_divide(F.covar_pop(x[a], x[b]), spread).alias(f"{a}\t{b}"))
-    wide = df.agg(*aggregates)
-    cells = []
-    for name in wide.columns:
-        a, b = name.split("\t")
-        value = F.col(f"`{name}`")
-        value = F.when(value.isNotNull(), F.lit(1.0)) if a == b else value
-        for left, right in {(a, b), (b, a)}:
-            cells.append(F.struct(F.lit(left).alias("col_a"), F.lit(right).alias("col_b"), value.alias("corr")))
-    return wide.select(F.inline(F.array(*cells)))
+    spark, k = df.sparkSession, len(columns)
+    if not columns:
+        return spark.createDataFrame([], "col_a string, col_b string, corr double")
+    rows = df.select(*[to_number(df, c).alias(f"x{i}") for i, c in enumerate(columns)])
+    # Some value near the middle of each column, to keep the sums small.
+    middle = rows.agg(*[F.percentile_approx(c, 0.5, 100).alias(c) for c in rows.columns]).first()
+    origin = np.array([m or 0.0 for m in middle])
+    sums = ["n", "sum_a", "sum_b", "sum_aa", "sum_bb", "sum_ab"]
+
+    def add_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n, first, square, cross = (np.zeros((k, k)) for _ in range(4))
+        for batch in batches:
+            x = batch.to_numpy(float) - origin
+            present = ~np.isnan(x)
+            x, mask = np.where(present, x, 0.0), present.astype(float)
+            n, first, square, cross = n + mask.T @ mask, first + x.T @ mask, square + (x * x).T @ mask, cross + x.T @ x
+        a, b = np.triu_indices(k)
+        parts = [n[a, b], first[a, b], first[b, a], square[a, b], square[b, a], cross[a, b]]
+        yield pd.DataFrame({"a": a.astype(np.int32), "b": b.astype(np.int32), **dict(zip(sums, parts))})
+
+    schema = "a int, b int, " + ", ".join(f"{name} double" for name in sums)
+    pairs = spark.createDataFrame([(a, b, *[0.0] * len(sums)) for a in range(k) for b in range(a, k)], schema)
+    total = rows.mapInPandas(add_up, schema).unionAll(pairs).groupBy("a", "b").agg(*[F.sum(c).alias(c) for c in sums])
+
+    def mean(name: str) -> Column:
+        return F.try_divide(F.col(name), F.col("n"))
+
+    def spread(of: str) -> Column:
+        variance = mean(f"sum_{of}{of}") - mean(f"sum_{of}") * mean(f"sum_{of}")
+        # What is left of a constant after rounding is no variance.
+        return F.when(variance > 1e-14 * mean(f"sum_{of}{of}"), F.sqrt(variance))
+
+    corr = (mean("sum_ab") - mean("sum_a") * mean("sum_b")) / (spread("a") * spread("b"))
+    corr = F.when(F.col("a") != F.col("b"), corr).when(corr.isNotNull(), 1.0)
+    names = F.array(*[F.lit(c) for c in columns])
+    one, other = F.get(names, F.col("a")), F.get(names, F.col("b"))
+    there = F.struct(one.alias("col_a"), other.alias("col_b"), corr.alias("corr"))
+    back = F.struct(other.alias("col_a"), one.alias("col_b"), corr.alias("corr"))
+    return total.select(F.inline(F.when(F.col("a") == F.col("b"), F.array(there)).otherwise(F.array(there, back))))
 
 
 def _spearman(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -63,8 +63,8 @@ def quantiles(
     """Linear-interpolated quantiles per group and column, missing values ignored.
 
     Returns ``(*by, column_name, n, q, *extra)`` with ``q`` aligned to ``probs`` (ascending).
-    ``extra`` holds further aggregates over ``value`` and the ``carry`` columns; they ride
-    along in the first scan.  Rows with a NULL group key are left out.  ``df`` is counted
+    ``extra`` holds further numbers aggregated over ``value`` and the ``carry`` columns; they
+    ride along in the first scan.  Rows with a NULL group key are left out.  ``df`` is counted
     and then scanned up to twice, so stage it first if it is expensive; ``small_rows=0``
     leaves the count out and goes straight to the large-input plan.
     """
@@ -89,12 +89,19 @@ def quantiles(
         sketch = stage(sketch, "sketch")
         brackets = sketch.select(*keys, "n", "ends", F.col("n").alias("weight"))
         ranked_in = attach(slim, brackets, keys, "weight", broadcast_rows=broadcast_rows)
-    else:
-        # One row per column of the schema.
-        sketch = df.sparkSession.createDataFrame(sketch.collect(), sketch.schema)
-        ranked_in = slim.join(F.broadcast(sketch.select(*keys, "n", "ends")), keys)
-    exact = _pick_ranks(ranked_in, keys, probs)
-    return exact.join(sketch.drop("ends"), keys).select(*keys, "n", "q", *extra)
+        exact = _pick_ranks(ranked_in, keys, probs)
+        return exact.join(sketch.drop("ends"), keys).select(*keys, "n", "q", *extra)
+    # One row per column of the schema travels as literals: a join on one column's name would have no key.
+    found = sketch.collect()
+
+    def known(name: str) -> Column:
+        value = F.lit(None)
+        for row in found:
+            value = F.when(F.col("column_name") == row.column_name, F.lit(row[name])).otherwise(value)
+        return value.cast(sketch.schema[name].dataType)
+
+    exact = _pick_ranks(slim.withColumns({c: known(c) for c in ("n", "ends")}), keys, probs)
+    return exact.withColumns({c: known(c) for c in ("n", *extra)}).select(*keys, "n", "q", *extra)
 
 
 def _around(probs: list[float], width: float) -> list[float]:

@@ -140,5 +140,7 @@ def test_chart_tables(clean):
     assert set(tables) == {
         "price_histogram", "log_price_histogram", "correlation_heatmap", "area_vs_price", "price_by_bhk",
         "price_by_bath", "price_by_area_type", "unit_price_histogram", "top_price_locations", "top_unit_price_locations",
+        "price_median", "unit_price_median",
     }
+    assert tables["price_median"].first().n == clean.count()
     assert all(t.columns for t in tables.values())

@@ -65,6 +65,14 @@ def test_null_groups_are_left_out_and_extras_ride_along(spark):
         assert [(r.k, r.n, r.q, r.top) for r in got] == [("a", 2, [2.0], 3.0)]
 
 
+def test_one_column_needs_no_join(spark):
+    rows = spark.createDataFrame(skewed())
+    got = quantiles(rows, ["v"], PROBS, extra={"top": F.max("value")}, small_rows=0)
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert got.first().top == skewed().v.max()
+    assert quantiles(rows.filter("false"), ["v"], PROBS, small_rows=0).count() == 0
+
+
 @pytest.mark.parametrize("limit", [1000, 0])
 def test_attach_inner_and_left(spark, limit):
     pdf = pd.DataFrame({"k": ["hot"] * 900 + [f"c{i}" for i in range(50)] * 2 + [None] * 7, "i": range(1007)})
