@@ -610,7 +610,8 @@ def tree_explain(spark, d):
     model = models.fit(booster, stage(features.vectorize(pipeline, train), "vectors"))
     ensemble = attribution.TreeEnsemble.from_model(spark, model)
     vectors = features.vectorize(pipeline, test, LISTING_KEYS)
-    parts = attribution.tree_attributions(vectors, LISTING_KEYS, ensemble, features.feature_names(pipeline))
+    names, categories = features.indexed_names(pipeline)
+    parts = attribution.tree_attributions(vectors, LISTING_KEYS, ensemble, names, categories=categories)
     return attribution.explain(parts, LISTING_KEYS)
 
 

@@ -8,7 +8,7 @@ Contributions are in the space the model was fitted in (log price).
 from __future__ import annotations
 
 import sys
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 from math import factorial
 
@@ -16,20 +16,17 @@ import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plinth.functions.text import feature_label
-from plinth.operators.features import FEATURES
-from plinth.staging import scratch_path
+from plinth.operators.features import FEATURES, INDEXED
+from plinth.staging import scratch_path, stage
 
 # Tasks get the functions below by value, so executors need no copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-# Paths with at most this many features get a table of all their decision patterns.
-TABLE_FEATURES = 8
-
 
 def linear_attributions(
     df: DataFrame, keys: Sequence[str], values: Column, names: Sequence[str], weights: Sequence[float],
@@ -49,20 +46,26 @@ def linear_attributions(
 
 @dataclass
 class Leaf:
-    """A leaf with the distinct features on its path: it is reached if ``low < x <= high`` for all of them."""
+    """A leaf with the distinct slots on its path: it is reached if every slot's value passes its test.
+
+    A test is ``(low, high)`` for ``low < x <= high``, or the categories let through, one bit each.
+    """
 
     value: float
     slots: list[int]
-    low: np.ndarray
-    high: np.ndarray
-    # Share of the training rows that go the leaf's way at the feature's splits.
+    tests: list[tuple[float, float] | np.ndarray]
+    # Share of the training rows that go the leaf's way at the slot's splits.
     share: np.ndarray
-    table: np.ndarray | None = None
+
+    @property
+    def nbytes(self) -> int:
+        """Size in a broadcast, an upper estimate."""
+        return 300 + 16 * len(self.slots) + sum(t.nbytes + 120 if isinstance(t, np.ndarray) else 100 for t in self.tests)
 
 
 @dataclass
 class TreeEnsemble:
-    """The leaves of a fitted tree ensemble; as small as the model the driver already holds."""
+    """The leaves of a fitted tree ensemble."""
 
     leaves: list[Leaf] = field(default_factory=list)
 
@@ -76,21 +79,22 @@ class TreeEnsemble:
         return float(sum(leaf.value * leaf.share.prod() for leaf in self.leaves))
 
     def add_tree(self, nodes: dict[int, dict], weight: float = 1.0, root: int = 0) -> TreeEnsemble:
-        """Add a tree of nodes ``{left, right, slot, threshold, rows, value}``; a leaf has no ``left``."""
+        """Add a tree of nodes ``{left, right, slot, rows, value}`` with a ``threshold`` or with the
+        ``categories`` that go left of ``arity`` known ones; a leaf has no ``left``."""
         pending = [(root, {})]
         while pending:
             number, path = pending.pop()
             node = nodes[number]
             if node.get("left") is None:
-                self.leaves.append(_leaf(weight * node["value"], path))
+                slots = list(path)
+                share = np.array([path[s][1] for s in slots], dtype=float)
+                self.leaves.append(Leaf(weight * node["value"], slots, [path[s][0] for s in slots], share))
                 continue
-            slot, threshold = node["slot"], node["threshold"]
-            low, high, share = path.get(slot, (-np.inf, np.inf, 1.0))
-            for child, bounds in (
-                (node["left"], (low, min(high, threshold))), (node["right"], (max(low, threshold), high))
-            ):
+            slot = node["slot"]
+            so_far, share = path.get(slot, (None, 1.0))
+            for child, test in zip((node["left"], node["right"]), _sides(node, so_far)):
                 part = share * nodes[child]["rows"] / node["rows"]
-                pending.append((child, path | {slot: (*bounds, part)}))
+                pending.append((child, path | {slot: (test, part)}))
         return self
 
     @classmethod
@@ -110,26 +114,60 @@ class TreeEnsemble:
             ensemble.add_tree(nodes, weights[number])
         return ensemble
 
-    def packed(self) -> list[tuple]:
-        """Plain arrays for the tasks; slots become positions in ``slots``."""
+    def blocks(self, max_bytes: int) -> list[list[tuple]]:
+        """The leaves as plain tuples for the tasks, in blocks of at most ``max_bytes`` (or one leaf).
+
+        Slots become positions in ``slots``. An ensemble without a split is one empty block.
+        """
         place = {slot: i for i, slot in enumerate(self.slots)}
-        return [
-            (np.array([place[s] for s in leaf.slots]), leaf.low, leaf.high, leaf.share, leaf.value, leaf.table)
-            for leaf in self.leaves if leaf.slots
-        ]
+        out, size = [[]], 0
+        for leaf in self.leaves:
+            if not leaf.slots:
+                continue
+            if out[-1] and size + leaf.nbytes > max_bytes:
+                out.append([])
+                size = 0
+            size += leaf.nbytes
+            out[-1].append((np.array([place[s] for s in leaf.slots]), leaf.tests, leaf.share, leaf.value))
+        return out
+
+
+def _sides(node: dict, so_far) -> tuple:
+    """Tests of a slot left and right of a split, given the slot's test above it."""
+    if "categories" in node:
+        above = np.ones(node["arity"], dtype=bool)
+        if so_far is not None:
+            above = np.unpackbits(so_far, count=node["arity"]).astype(bool)
+        left = np.zeros(node["arity"], dtype=bool)
+        left[np.asarray(node["categories"], dtype=int)] = True
+        return np.packbits(above & left), np.packbits(above & ~left)
+    low, high = so_far or (-np.inf, np.inf)
+    threshold = node["threshold"]
+    return (low, min(high, threshold)), (max(low, threshold), high)
+
+
+def _passes(x: np.ndarray, test) -> np.ndarray:
+    if isinstance(test, tuple):
+        return (x > test[0]) & (x <= test[1])
+    number = x.astype(np.int64)
+    return (test[number >> 3] >> (7 - (number & 7))) & 1 == 1
 
 
 def contributions(leaves: list[tuple], x: np.ndarray) -> np.ndarray:
-    """Contributions of the used slots for a batch ``x`` of the same slots."""
+    """Contributions of the used slots for a batch ``x`` of the same slots.
+
+    A leaf adds the same for all rows with the same tests passed, so its values are computed
+    once per pattern that occurs.
+    """
     out = np.zeros(x.shape)
-    for at, low, high, share, value, table in leaves:
-        seen = x[:, at]
-        follows = (seen > low) & (seen <= high)
-        if table is not None:
-            out[:, at] += table[follows @ (1 << np.arange(len(at)))]
-        else:
-            patterns, which = np.unique(follows, axis=0, return_inverse=True)
-            out[:, at] += leaf_shapley(value, share, patterns)[which.reshape(-1)]
+    columns = np.ascontiguousarray(x.T)
+    for at, tests, share, value in leaves:
+        code = np.zeros(len(x), dtype=np.int64)
+        for bit, (slot, test) in enumerate(zip(at, tests)):
+            code |= _passes(columns[slot], test).astype(np.int64) << bit
+        codes, which = np.unique(code, return_inverse=True)
+        patterns = (codes[:, None] >> np.arange(len(at))) & 1
+        out[:, at] += leaf_shapley(value, share, patterns)[which.reshape(-1)]
     return out
 
 
@@ -137,30 +175,20 @@ def _node(saved) -> dict:
     split = saved.split
     node = {"value": saved.prediction, "rows": float(saved.rawCount), "left": None}
     if saved.leftChild >= 0:
-        threshold, left, right = None, saved.leftChild, saved.rightChild
+        left, right = saved.leftChild, saved.rightChild
         if split.numCategories < 0:
-            threshold = split.leftCategoriesOrThreshold[0]
+            test = {"threshold": split.leftCategoriesOrThreshold[0]}
         elif split.numCategories == 2:
-            # A one-hot slot: split between 0 and 1, mirrored if the 1s go left.
-            threshold = 0.5
+            # Split between 0 and 1, mirrored if the 1s go left.
+            test = {"threshold": 0.5}
             if split.leftCategoriesOrThreshold[0] == 1.0:
                 left, right = right, left
         else:
-            raise ValueError("only numeric and one-hot slots can be explained")
-        node |= {"left": left, "right": right, "slot": split.featureIndex, "threshold": threshold}
+            test = {"categories": list(split.leftCategoriesOrThreshold), "arity": split.numCategories}
+        node |= {"left": left, "right": right, "slot": split.featureIndex} | test
     return node
 
 
-def _leaf(value: float, path: dict) -> Leaf:
-    slots = list(path)
-    low, high, share = (np.array([path[s][i] for s in slots], dtype=float) for i in range(3))
-    leaf = Leaf(value, slots, low, high, share)
-    if len(slots) <= TABLE_FEATURES:
-        codes = np.arange(1 << len(slots))[:, None]
-        leaf.table = leaf_shapley(value, share, (codes >> np.arange(len(slots))) & 1)
-    return leaf
-
-
 def leaf_shapley(value: float, share: np.ndarray, follows: np.ndarray) -> np.ndarray:
     """Shapley values of one leaf for each 0/1 decision pattern.
 
@@ -171,42 +199,80 @@ def leaf_shapley(value: float, share: np.ndarray, follows: np.ndarray) -> np.nda
     follows = follows.astype(float)
     k = len(share)
     weight = np.array([factorial(s) * factorial(k - 1 - s) / factorial(k) for s in range(k)])
-    out = np.empty(follows.shape)
-    for i in range(k):
-        sums = np.zeros((len(follows), k))
-        sums[:, 0] = 1.0
-        for j in range(k):
-            if j != i:
-                shifted = np.zeros_like(sums)
-                shifted[:, 1:] = sums[:, :-1]
-                sums = sums * share[j] + shifted * follows[:, [j]]
-        out[:, i] = value * (follows[:, i] - share[i]) * (sums @ weight)
-    return out
+    # Row i of the sums leaves feature i out; all rows grow together, one feature at a time.
+    sums = np.zeros((k, len(follows), k))
+    sums[:, :, 0] = 1.0
+    for j in range(k):
+        grown = sums * share[j]
+        grown[:, :, 1:] += sums[:, :, :-1] * follows[:, j, None]
+        grown[j] = sums[j]
+        sums = grown
+    return value * (follows - share) * (sums @ weight).T
 
 
 def tree_attributions(
-    df: DataFrame, keys: Sequence[str], ensemble: TreeEnsemble, names: Sequence[str], values: Column | None = None
+    df: DataFrame, keys: Sequence[str], ensemble: TreeEnsemble, names: Sequence[str], values: Column | None = None,
+    categories: Mapping[int, Sequence[str]] | None = None, max_bytes: int = 64 << 20,
 ) -> DataFrame:
     """Path-dependent tree Shapley values of every row; only the slots the trees use are listed.
 
-    ``values`` is an array column in slot order (default: the ``features`` vector). Rows
-    stay where they are; each task works through its Arrow batches with the broadcast trees.
+    ``values`` is an array column in slot order (default: the ``features`` vector, or
+    ``indexed`` if ``categories`` names its nominal slots). A nominal slot reports the category
+    the row has, ``<slot name>_<category>``, with the value 1, as its one-hot slot would; a
+    category unknown to the model reports 0. Rows stay where they are; each task works
+    through its Arrow batches with the broadcast trees. Trees above ``max_bytes`` go in blocks, each
+    adding to the staged sums of those before.
     """
-    values = vector_to_array(FEATURES) if values is None else values
+    if values is None:
+        values = vector_to_array(FEATURES if categories is None else INDEXED)
     slots = ensemble.slots
-    leaves = df.sparkSession.sparkContext.broadcast(ensemble.packed())
+    labels = {i: list(categories[s]) for i, s in enumerate(slots) if s in (categories or {})}
+    used = [names[s] for s in slots]
     is_used = F.expr("array(" + ",".join(str(i in set(slots)).lower() for i in range(len(names))) + ")")
     # The array is an argument of `filter`, so a vector is unpacked once per row, not once per slot.
-    narrow = df.select(*keys, F.filter(values, lambda x, i: F.get(is_used, i)).alias("feature_value"))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            x = np.array(batch["feature_value"].tolist(), dtype=float).reshape(len(batch), len(slots))
-            yield batch.assign(contribution=list(contributions(leaves.value, x)))
+    explained = df.select(
+        *keys, F.filter(values, lambda x, i: F.get(is_used, i)).alias("feature_value"),
+        F.array_repeat(F.lit(0.0), len(slots)).alias("contribution"),
+    )
 
-    schema = T.StructType([*narrow.schema.fields, T.StructField("contribution", T.ArrayType(T.DoubleType()))])
-    explained = narrow.mapInPandas(run, schema)
-    columns = {"slot": F.array(*[F.lit(s) for s in slots]), "raw_feature": F.array(*[F.lit(names[s]) for s in slots])}
+    def adding(block):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                x, before = (
+                    np.array(batch[c].tolist(), dtype=float).reshape(len(batch), len(slots))
+                    for c in ("feature_value", "contribution")
+                )
+                yield batch.assign(contribution=list(before + contributions(block.value, x)))
+
+        return run
+
+    context = df.sparkSession.sparkContext
+    for number, block in enumerate(ensemble.blocks(max_bytes)):
+        if number:
+            explained = stage(explained, "explained")
+        explained = explained.mapInPandas(adding(context.broadcast(block)), explained.schema)
+
+    if labels:
+        known = context.broadcast(labels)
+
+        def named(value: pd.Series) -> pd.Series:
+            def names_of(row):
+                out = list(used)
+                for i, of_slot in known.value.items():
+                    number = int(row[i])
+                    out[i] += "_" + (of_slot[number] if number < len(of_slot) else "unknown")
+                return out
+
+            return value.map(names_of)
+
+        raw = F.pandas_udf(named, "array<string>")(F.col("feature_value"))
+        limit = F.expr("array(" + ",".join(str(len(labels[i]) if i in labels else -1) for i in range(len(slots))) + ")")
+        shown = F.transform("feature_value", lambda x, i: F.when(
+            F.get(limit, i) >= 0, (x < F.get(limit, i)).cast("double")
+        ).otherwise(x))
+    else:
+        raw, shown = F.array(*[F.lit(n) for n in used]), F.col("feature_value")
+    columns = {"slot": F.array(*[F.lit(s) for s in slots]), "raw_feature": raw, "feature_value": shown}
     zipped = F.arrays_zip("slot", "raw_feature", "feature_value", "contribution")
     return explained.withColumns(columns).select(*keys, zipped.alias("attributions"))
 
@@ -240,8 +306,16 @@ def explain(attributions: DataFrame, keys: Sequence[str], top_n: int = 8) -> Dat
 
 
 def global_importance(attributions: DataFrame, top_n: int = 20) -> DataFrame:
-    """Mean absolute contribution per slot over all rows, largest first. Slots no tree uses are not listed."""
+    """Mean absolute contribution per slot over all rows, largest first. Slots no tree uses are not listed.
+
+    A category of a nominal slot counts 0 in the rows that have another one, as its one-hot slot would if inactive.
+    """
     cells = attributions.select(F.inline("attributions"))
-    mean = cells.groupBy("slot", "raw_feature").agg(F.avg(F.abs("contribution")).alias("mean_abs_shap"))
+    sums = cells.groupBy("slot", "raw_feature").agg(
+        F.sum(F.abs("contribution")).alias("total"), F.count("contribution").alias("cells")
+    )
+    # Every row has every slot once. One line per slot or category is left here.
+    rows = F.sum("cells").over(Window.partitionBy("slot"))
+    mean = sums.withColumn("mean_abs_shap", F.try_divide("total", rows))
     top = mean.orderBy(F.col("mean_abs_shap").desc(), F.col("slot").desc()).limit(top_n)
     return top.select(feature_label(F.col("raw_feature")).alias("feature"), "raw_feature", "mean_abs_shap")

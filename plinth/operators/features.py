@@ -48,7 +48,9 @@ LEAKAGE_COLUMNS = [
 # Stand-ins used only inside the engineered features.
 FEATURE_DEFAULTS = {"total_sqft": 1000.0, "bhk": 2.0, "bath": 2.0}
 RARE_BELOW = 10
-LABEL, ACTUAL, FEATURES = "label", "actual", "features"
+LABEL, ACTUAL = "label", "actual"
+# Two forms of the same features: one-hot slots for linear models, category numbers for trees.
+FEATURES, INDEXED = "features", "indexed"
 
 
 def check_no_leakage(names: Iterable[str], blocked: Iterable[str] = LEAKAGE_COLUMNS) -> None:
@@ -288,7 +290,12 @@ def build_feature_pipeline(
     categorical: Sequence[str] = CATEGORICAL,
     fold: Sequence[str] = ("location",),
 ) -> Pipeline:
-    """Raw listing features to one sparse ``features`` vector; unseen categories give all zeros."""
+    """Raw listing features to two vectors; a vector that is not selected is not computed.
+
+    ``features`` is sparse with one slot per category, an unseen one gives all zeros. ``indexed``
+    has one nominal slot per column, its value the number of the category (unseen: the number
+    of known ones), so a tree meets a dozen slots instead of thousands.
+    """
     check_no_leakage([*numeric, *categorical])
     filled = [f"imputed {c}" for c in categorical]
     index = [f"index {c}" for c in categorical]
@@ -302,6 +309,7 @@ def build_feature_pipeline(
         StringIndexer(inputCols=filled, outputCols=index, handleInvalid="keep", stringOrderType="alphabetAsc"),
         OneHotEncoder(inputCols=index, outputCols=hot),
         VectorAssembler(inputCols=[*[f"num__{c}" for c in numeric], *hot], outputCol=FEATURES),
+        VectorAssembler(inputCols=[*[f"num__{c}" for c in numeric], *index], outputCol=INDEXED),
     ])
 
 
@@ -315,9 +323,18 @@ def feature_names(model: PipelineModel) -> list[str]:
     return names
 
 
+def indexed_names(model: PipelineModel) -> tuple[list[str], dict[int, list[str]]]:
+    """Slot names of the ``indexed`` vector, and the category names of its nominal slots."""
+    scaler = next(s for s in model.stages if isinstance(s, NumericScalerModel))
+    indexer = next(s for s in model.stages if hasattr(s, "labelsArray"))
+    names = [f"num__{c}" for c in scaler.getOrDefault("inputCols")]
+    columns = [f"cat__{c.removeprefix('imputed ')}" for c in indexer.getInputCols()]
+    return names + columns, {len(names) + i: list(labels) for i, labels in enumerate(indexer.labelsArray)}
+
+
 def vectorize(model: PipelineModel, df: DataFrame, carry: Sequence[str] = (LABEL, ACTUAL)) -> DataFrame:
-    """``features`` plus the ``carry`` columns that ``df`` has."""
-    return model.transform(df).select(*[c for c in carry if c in df.columns], FEATURES)
+    """``features`` and ``indexed`` plus the ``carry`` columns that ``df`` has."""
+    return model.transform(df).select(*[c for c in carry if c in df.columns], FEATURES, INDEXED)
 
 
 def target_column(df: DataFrame) -> str:

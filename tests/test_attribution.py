@@ -7,7 +7,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import functions as F
 
-from plinth.operators import attribution
+from plinth.operators import attribution, features, models
 from plinth.operators.attribution import TreeEnsemble, contributions
 
 NAMES = ["num__total_sqft", "num__bath", "cat__area_type_Plot Area"]
@@ -36,7 +36,7 @@ def expectation(nodes, x, known, here=0):
     if node["left"] is None:
         return node["value"]
     if node["slot"] in known:
-        return expectation(nodes, x, known, node["left"] if x[node["slot"]] <= node["threshold"] else node["right"])
+        return expectation(nodes, x, known, node["left"] if goes_left(node, x) else node["right"])
     sides = (node["left"], node["right"])
     return sum(nodes[s]["rows"] / node["rows"] * expectation(nodes, x, known, s) for s in sides)
 
@@ -54,17 +54,29 @@ def brute_force(trees, x):
     return out
 
 
-@pytest.mark.parametrize("table_features", [8, 0])
-def test_equals_brute_force_shapley(monkeypatch, table_features):
-    monkeypatch.setattr(attribution, "TABLE_FEATURES", table_features)
+def goes_left(node, x):
+    value = x[node["slot"]]
+    return int(value) in node["categories"] if "categories" in node else value <= node["threshold"]
+
+
+@pytest.mark.parametrize("max_bytes", [1 << 20, 1])
+def test_equals_brute_force_shapley(max_bytes):
     rng = np.random.default_rng(5)
     trees = [random_tree(rng, 4, 4) for _ in range(3)]
+    x = rng.normal(size=(25, 4))
+    x[:, 3] = rng.integers(11, size=25)
+    for nodes in trees:  # the last slot is nominal, with 11 categories
+        for node in nodes.values():
+            if node.get("slot") == 3:
+                node["categories"], node["arity"] = rng.permutation(11)[:5].tolist(), 11
     ensemble = TreeEnsemble()
     for nodes in trees:
         ensemble.add_tree(nodes)
-    x = rng.normal(size=(25, 4))
+    blocks = ensemble.blocks(max_bytes)
+    assert len(blocks) == (1 if max_bytes > 1 else len(ensemble.leaves))
     got = np.zeros(x.shape)
-    got[:, ensemble.slots] = contributions(ensemble.packed(), x[:, ensemble.slots])
+    for block in blocks:
+        got[:, ensemble.slots] += contributions(block, x[:, ensemble.slots])
     assert got == pytest.approx(np.array([brute_force(trees, row) for row in x]), abs=1e-10)
     assert ensemble.base == pytest.approx(sum(expectation(t, x[0], set()) for t in trees))
 
@@ -72,7 +84,8 @@ def test_equals_brute_force_shapley(monkeypatch, table_features):
 @pytest.mark.parametrize("learner, settings", [
     (GBTRegressor, {"maxIter": 5, "maxDepth": 4, "stepSize": 0.3}), (RandomForestRegressor, {"numTrees": 4, "maxDepth": 11}),
 ])
-def test_base_plus_contributions_is_the_prediction(spark, learner, settings):
+@pytest.mark.parametrize("max_bytes", [64 << 20, 20_000])
+def test_base_plus_contributions_is_the_prediction(spark, learner, settings, max_bytes):
     df = spark.range(400).select(
         "id", (F.col("id") * 7 % 101).cast("double").alias("a"), (F.col("id") * 13 % 37).cast("double").alias("b"),
         (F.col("id") % 2).cast("double").alias("c"), (F.col("id") * 31 % 53).cast("double").alias("d"),
@@ -81,12 +94,36 @@ def test_base_plus_contributions_is_the_prediction(spark, learner, settings):
     model = learner(seed=1, **settings).fit(df)
     ensemble = TreeEnsemble.from_model(spark, model)
     scored = model.transform(df).select("id", "features", "prediction")
-    parts = attribution.tree_attributions(scored, ["id", "prediction"], ensemble, ["num__a", "num__b", "cat__c", "num__d"])
+    names = ["num__a", "num__b", "cat__c", "num__d"]
+    parts = attribution.tree_attributions(scored, ["id", "prediction"], ensemble, names, max_bytes=max_bytes)
     total = F.aggregate("attributions", F.lit(ensemble.base), lambda s, a: s + a.contribution)
     assert parts.count() == 400
     assert parts.filter(F.abs(total - F.col("prediction")) > 1e-6).count() == 0
 
 
+def test_nominal_slots_report_the_category_of_the_row(spark):
+    places = F.concat(F.lit("P"), (F.col("id") % 7).cast("string"))
+    df = spark.range(600).select(
+        "id", (F.col("id") * 7 % 101 + 500).cast("double").alias("total_sqft"), places.alias("location"),
+        F.lit(1.0).alias("bath"), F.lit(1.0).alias("balcony"), (F.col("id") % 3 + 1).cast("double").alias("bhk"),
+        F.lit("Plot Area").alias("area_type"), F.lit("Ready").alias("availability_status"),
+    ).withColumn("label", F.col("total_sqft") / 100 + F.substring("location", 2, 1).cast("int") % 4)
+    pipeline = features.build_feature_pipeline().fit(df)
+    train = features.vectorize(pipeline, df, ["id", "label"])
+    model = models.fit(models.xgboost_like, train, maxIter=4, maxDepth=4, stepSize=0.3)
+    assert model.getOrDefault("featuresCol") == "indexed"
+    ensemble, (names, categories) = TreeEnsemble.from_model(spark, model), features.indexed_names(pipeline)
+    parts = attribution.tree_attributions(model.transform(train), ["id", "prediction"], ensemble, names, categories=categories)
+    total = F.aggregate("attributions", F.lit(ensemble.base), lambda s, a: s + a.contribution)
+    assert parts.filter(F.abs(total - F.col("prediction")) > 1e-6).count() == 0
+    cells = parts.select("id", F.inline("attributions")).filter("raw_feature LIKE 'cat__location%'").join(df, "id")
+    wrong = (F.col("raw_feature") != F.concat(F.lit("cat__location_"), "location")) | (F.col("feature_value") != 1)
+    assert cells.count() == 600 and cells.filter(wrong).isEmpty()
+    importance = {r.raw_feature: r.mean_abs_shap for r in attribution.global_importance(parts).collect()}
+    mean = cells.filter("location = 'P1'").agg(F.sum(F.abs("contribution"))).first()[0] / 600
+    assert importance["cat__location_P1"] == pytest.approx(mean)
+
+
 def test_explain_reports_active_slots_best_first(spark):
     df = spark.createDataFrame([(1, 10.0, 0.0, 0.0), (2, 25.0, 4.0, 1.0)], "id int, a double, b double, c double")
     parts = attribution.linear_attributions(df, ["id"], F.array("a", "b", "c"), NAMES, [0.1, -1.0, 2.0], [25.0, 0.0, 0.5])
