@@ -1,14 +1,18 @@
 """License scan by canonical digest.
 
 Texts are brought to a canonical form: lower case, punctuation and white space as single
-blanks, lines that only claim a copyright left out, equivalent spellings made one.  The
-digest of the whole text, of each paragraph (lines between empty lines) and of each line is
-looked up among the digests of known license texts and notices by a hash join.  The known
-table has a fixed size and is broadcast; only units that agree with a known text in number
-of words and first word are hashed, which loses none.
+blanks, lines that only claim a copyright left out, equivalent spellings made one.  A unit is
+a run of lines, at most the whole text without its leading title lines; every run that has the
+number of words and the first word of a known text is hashed and looked up among the digests
+of known license texts and notices by a hash join, so a license is found wherever its lines
+stand, over any number of paragraphs.  The known texts are a table (``known_table``, or the
+caller's own); their digests are broadcast.
+
+Units are named ``text`` (the whole text), ``paragraph`` (lines between empty lines), ``line``
+and ``run`` (any other run of lines).
 
 Defined results: null and empty texts match nothing; a unit found several times counts each
-time; rows with equal id add up; an empty table gives an empty table.
+time, also inside a larger one; rows with equal id add up; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -16,12 +20,14 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from importlib import resources
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plinth.llm.shared import bounded_batches, texts_of
+from plinth.staging import stage
 
 # Spellings that count as equal.
 EQUIVALENT = {
@@ -59,7 +65,19 @@ NOTICES = (
     "This file is licensed under {}", "SPDX-License-Identifier: {}",
 )
 
-# License texts.
+# Titles that stand above license texts.
+TITLES = (
+    "License", "The MIT License (MIT)", "MIT License (MIT)", "ISC License (ISC)", "The 2-Clause BSD License",
+    'BSD 2-Clause "Simplified" License', "Simplified BSD License", "FreeBSD License", "The 3-Clause BSD License",
+    'BSD 3-Clause "New" or "Revised" License', "New BSD License", "Modified BSD License", "BSD License", "The BSD License",
+    "BSD Zero Clause License", "Zero-Clause BSD", "Apache License", "Version 2.0, January 2004", "Apache License Version 2.0, January 2004",
+    "http://www.apache.org/licenses/", "zlib License", "The zlib License", "zlib/libpng License", "GNU General Public License",
+    "Version 2, June 1991", "Version 3, 29 June 2007", "GNU Lesser General Public License", "Mozilla Public License Version 2.0",
+    "Creative Commons Legal Code", "CC0 1.0 Universal", "Creative Commons CC0 1.0 Universal",
+    "Attribution-ShareAlike 4.0 International", "Creative Commons Attribution-ShareAlike 4.0 International Public License",
+)
+
+# License texts; longer ones are the files of ``licenses``, from their first term to the last.
 TEXTS = {
     "MIT": """
         Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
@@ -148,42 +166,96 @@ def _joined(lines: list[list[bytes]]) -> list[bytes]:
     return [w for line in lines for w in line]
 
 
-def known_texts() -> dict[bytes, tuple[str, int, bytes]]:
-    """digest -> (license, number of words, first word)."""
-    texts = [(name, text) for name, text in TEXTS.items()]
-    texts += [(name, notice.format(form)) for name, forms in NAMES.items() for form in forms for notice in NOTICES]
-    known = {}
-    for name, text in texts:
-        words = _joined(canonical_lines(text))
-        known.setdefault(_digest(words), (name, len(words), words[0]))
-    return known
+def _title_words() -> set[tuple[bytes, ...]]:
+    forms = [*TITLES, *(f for forms in NAMES.values() for f in forms)]
+    forms += [f.removeprefix("the ") for f in forms]
+    return {tuple(_joined(canonical_lines(f))) for f in forms}
+
+
+def _untitled(lines: list[list[bytes]]) -> int:
+    """The first line that is neither empty nor a title; of titles alone the first."""
+    full = [i for i, line in enumerate(lines) if line]
+    return next((i for i in full if tuple(lines[i]) not in _TITLE_WORDS), full[0] if full else 0)
+
+
+_TITLE_WORDS = _title_words()
+
+
+def known_texts() -> list[tuple[str, str]]:
+    """(license, text) of the texts and notices known here."""
+    texts = list(TEXTS.items())
+    files = (f for f in resources.files(__package__).joinpath("licenses").iterdir() if f.name.endswith(".txt"))
+    texts += [(f.name.removesuffix(".txt"), f.read_text("utf-8")) for f in sorted(files, key=lambda f: f.name)]
+    return texts + [(name, notice.format(form)) for name, forms in NAMES.items() for form in forms for notice in NOTICES]
+
+
+def known_table(spark: SparkSession) -> DataFrame:
+    """(license, text): the known texts as ``scan`` takes them; add rows to look for more."""
+    return spark.createDataFrame(known_texts(), "license string, text string")
 
 
-def units_of(text: str) -> Iterator[tuple[str, list[bytes]]]:
-    """The whole text, its paragraphs and its lines, each once: a unit that is also a larger one is left out."""
+def _known_units(known: DataFrame) -> DataFrame:
+    """(digest, license, n_words, first): one row for each distinct text of a license, with and without titles it repeats inside."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for name, text in zip(batch.column("license").to_pylist(), texts_of(batch, "text")):
+                lines = canonical_lines(text)
+                body = lines[_untitled(lines):]
+                repeated = [tuple(x) in _TITLE_WORDS and not before for before, x in zip(body, body[1:])]
+                for form in (body, body[:1] + [x for x, title in zip(body[1:], repeated) if not title]):
+                    if words := _joined(form):
+                        rows.append((_digest(words), name, len(words), words[0]))
+            digests, names, n, first = zip(*rows) if rows else ((),) * 4
+            yield pa.record_batch({
+                "digest": pa.array(digests, pa.binary()), "license": pa.array(names, pa.string()),
+                "n_words": pa.array(n, pa.int32()), "first": pa.array(first, pa.binary()),
+            })
+
+    source = known.select(F.col("license").cast("string"), F.col("text").cast("string"))
+    return source.mapInArrow(run, "digest binary, license string, n_words int, first binary").distinct()
+
+
+def units_of(text: str, shapes: dict[bytes, list[int]]) -> Iterator[tuple[str, list[bytes]]]:
+    """The runs of lines with a first word and a number of words of ``shapes``, each once, with their names."""
     lines = canonical_lines(text)
-    paragraphs, start = [], 0
-    for i in range(len(lines) + 1):
-        if i == len(lines) or not lines[i]:
-            if i > start:
-                paragraphs.append(lines[start:i])
-            start = i + 1
-    if paragraphs:
-        yield "text", _joined(lines)
-    for paragraph in paragraphs if len(paragraphs) > 1 else ():
-        yield "paragraph", _joined(paragraph)
-    for paragraph in paragraphs:
-        for line in paragraph if len(paragraph) > 1 else ():
-            yield "line", line
-
-
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, license, unit, n_found): which known licenses a document states, where and how often."""
+    full = [i for i, line in enumerate(lines) if line]
+    ends, total = {}, 0  # number of words up to the end of a line -> the line
+    for i in full:
+        total += len(lines[i])
+        ends[total] = i
+    begin = 0
+    whole = (_untitled(lines), full[-1]) if full else None
+    for i in full:
+        for n in shapes.get(lines[i][0], ()):
+            j = ends.get(begin + n)
+            if j is not None:
+                opens = i == 0 or not lines[i - 1]
+                closes = j + 1 == len(lines) or not lines[j + 1]
+                if (i, j) == whole:
+                    unit = "text"
+                elif opens and closes and all(lines[i : j + 1]):
+                    unit = "paragraph"
+                else:
+                    unit = "line" if i == j else "run"
+                yield unit, _joined(lines[i : j + 1])
+        begin += len(lines[i])
+
+
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", known: DataFrame | None = None) -> DataFrame:
+    """(id, license, unit, n_found): which known licenses a document states, where and how often.
+
+    ``known`` has the columns ``license`` and ``text``; without it the texts of ``known_table`` are looked for.
+    """
     spark: SparkSession = docs.sparkSession
     bounded_batches(spark)
-    known = known_texts()
-    shapes = {(n, first) for _, n, first in known.values()}
-    table = spark.createDataFrame([(bytearray(d), name) for d, (name, _, _) in known.items()], "digest binary, license string")
+    units = stage(_known_units(known_table(spark) if known is None else known), "known-licenses")
+    shapes: dict[bytes, list[int]] = {}
+    for n, first in units.select("n_words", "first").distinct().toLocalIterator():
+        shapes.setdefault(bytes(first), []).append(n)
+    shared = spark.sparkContext.broadcast(shapes)
+    table = units.select("digest", F.col("license").alias("_license"))
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     id_type = source.schema["id"].dataType.simpleString()
 
@@ -191,17 +263,16 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         for batch in batches:
             at, units, digests = [], [], []
             for i, text in enumerate(texts_of(batch, "text")):
-                for unit, words in units_of(text):
-                    if (len(words), words[0] if words else b"") in shapes:
-                        at.append(i)
-                        units.append(unit)
-                        digests.append(_digest(words))
+                for unit, words in units_of(text, shared.value):
+                    at.append(i)
+                    units.append(unit)
+                    digests.append(_digest(words))
             yield pa.record_batch({
                 "id": batch.column("id").take(pa.array(at, pa.int64())), "unit": pa.array(units, pa.string()),
                 "digest": pa.array(digests, pa.binary()),
             })
 
     found = source.mapInArrow(run, f"id {id_type}, unit string, digest binary")
-    return found.join(F.broadcast(table), "digest").groupBy(F.col("id").alias(id_col), "license", "unit").agg(
-        F.count("*").alias("n_found")
-    )
+    return found.join(F.broadcast(table), "digest").groupBy(
+        F.col("id").alias(id_col), F.col("_license").alias("license"), "unit"
+    ).agg(F.count("*").alias("n_found"))

@@ -1,8 +1,10 @@
 """Classifiers, rules, extraction, license scan, similarity join and the pipeline."""
 
 import math
+import os
 import random
 import re
+import textwrap
 from collections import Counter
 
 import numpy as np
@@ -279,6 +281,37 @@ def test_license_scan(spark):
     assert license_scan.scan(df.limit(0)).count() == 0
 
 
+def test_license_files_and_runs_of_paragraphs(spark):
+    def filed(title, name, breaks=()):
+        body = license_scan.TEXTS[name]
+        for first in breaks:
+            body = body.replace(first, "\n\n" + first)
+        return f"{title}\n\nCopyright (c) 2020 Someone\n{body}\n"
+
+    mit = filed("MIT License", "MIT", ["The above", "THE SOFTWARE IS"])
+    bsd = filed('BSD 2-Clause "Simplified" License', "BSD-2-Clause", ["1. R", "2. R", "THIS SOFTWARE IS"])
+    isc = filed("The ISC License", "ISC", ["THE SOFTWARE IS"])
+    folder = os.path.join(os.path.dirname(license_scan.__file__), "licenses")
+    files = {f.removesuffix(".txt"): open(os.path.join(folder, f), encoding="utf-8").read() for f in sorted(os.listdir(folder))}
+    wrapped = {name: "\n".join(textwrap.fill(p, 72) + "\n" for p in text.split("\n\n")) for name, text in files.items()}
+    assert set(license_scan.NAMES) - set(files) - set(license_scan.TEXTS) == {"AGPL-3.0", "CC-BY-4.0", "CC-BY-NC-4.0"}
+    rows = [("mit", mit), ("bsd", bsd), ("isc", isc), ("readme", f"# Tool\n\nIt works.\n\n## License\n\n{mit}\n\nThe end."),
+            ("twice", f"{isc}\n---\n{bsd}\n\n{isc}"), ("cut", mit[: len(mit) // 2])]
+    rows.append(("untitled", files["GPL-2.0"].replace("GNU GENERAL PUBLIC LICENSE\n", "\n")))
+    rows += [(name, "A heading of my own\n\n" + text + "\n\nEND OF TERMS AND CONDITIONS") for name, text in wrapped.items()]
+    df = spark.createDataFrame(rows, "doc_id string, text string")
+    got = sorted((r.doc_id, r.license, r.unit, r.n_found) for r in license_scan.scan(df).collect())
+    assert got == sorted([
+        ("mit", "MIT", "text", 1), ("bsd", "BSD-2-Clause", "text", 1), ("isc", "ISC", "text", 1), ("readme", "MIT", "run", 1),
+        ("twice", "ISC", "run", 2), ("twice", "BSD-2-Clause", "run", 1), ("untitled", "GPL-2.0", "text", 1), *[(name, name, "run", 1) for name in files],
+    ])
+    own = spark.createDataFrame([("House", "HOUSE RULES\n\nDo as\nyou like."), ("Empty", "")], "license string, text string")
+    docs = spark.createDataFrame([(1, "x\n\nHouse rules.\n\nDo as you like!\ny"), (2, mit)], "doc_id long, text string")
+    assert [tuple(r) for r in license_scan.scan(docs, known=own).collect()] == [(1, "House", "run", 1)]
+    both = license_scan.scan(docs, known=own.unionAll(license_scan.known_table(spark))).collect()
+    assert sorted(map(tuple, both)) == [(1, "House", "run", 1), (2, "MIT", "text", 1)]
+
+
 def test_license_lines_against_plain_search(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     lines = docs.select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
