@@ -1,7 +1,8 @@
 """License scan by canonical digest.
 
 Texts are brought to a canonical form: lower case, punctuation and white space as single
-blanks, lines that only claim a copyright left out, equivalent spellings made one.  A unit is
+blanks, equivalent spellings made one, and lines that claim a copyright left out: those that
+begin with copyright, (c) or the sign, unless they go on like a known text.  A unit is
 a run of lines, at most the whole text without its leading title lines; every run that has the
 number of words and the first word of a known text is hashed and looked up among the digests
 of known license texts and notices by a hash join, so a license is found wherever its lines
@@ -11,7 +12,7 @@ caller's own); their digests are broadcast.
 Units are named ``text`` (the whole text), ``paragraph`` (lines between empty lines), ``line``
 and ``run`` (any other run of lines).
 
-Defined results: null and empty texts match nothing; a unit found several times counts each
+Defined results: null and empty texts, known or not, and known texts of claims alone match nothing; a unit found several times counts each
 time, also inside a larger one; rows with equal id add up; an empty table gives an empty table.
 """
 
@@ -19,7 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Set
 from importlib import resources
 
 import pyarrow as pa
@@ -143,19 +144,48 @@ TEXTS = {
 _PLAIN = bytes(
     b + 32 if 65 <= b <= 90 else b if b == 10 or b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256)
 )
-_CLAIM = re.compile(rb"(copyright( c)?|c) (\d{4}|by|the )|all rights reserved$|\xc2\xa9")
+_SIGN = re.compile(rb"\W*?\(c\)", re.IGNORECASE)
+# A claim inside a known text: a year or the place for one follows at once.
+_DATED = re.compile(rb"(copyright|c)( copyright| c)? (\d{4}|y{2,4}|year)\b")
 _EQUIVALENT = {a.encode(): b.encode() for a, b in EQUIVALENT.items()}
+SENTENCE_WORDS = 8
 
 
-def canonical_lines(text: str) -> list[list[bytes]]:
-    """The words of each line; an empty list for an empty line, none for a line that claims a copyright."""
-    out = []
-    for line in text.encode("utf-8", "surrogatepass").translate(_PLAIN).split(b"\n"):
+def _lines(text: str) -> Iterator[tuple[list[bytes], bool]]:
+    """The words of each line, and whether it begins with copyright, (c) or the sign, or reserves all rights."""
+    raw = text.encode("utf-8", "surrogatepass").replace(b"\xc2\xa9", b"(c)")
+    rows = raw.split(b"\n")
+    for row, line in zip(rows, raw.translate(_PLAIN).split(b"\n")):
         words = line.split()
-        if words and words[0] in (b"copyright", b"c", b"all", b"\xc2\xa9") and _CLAIM.match(b" ".join(words)):
-            continue
-        out.append([_EQUIVALENT.get(w, w) for w in words])
-    return out
+        first = words[0] if words else b""
+        claim = first == b"copyright" or first == b"c" and bool(_SIGN.match(row)) or words == [b"all", b"rights", b"reserved"]
+        yield [_EQUIVALENT.get(w, w) for w in words], claim
+
+
+def canonical_lines(text: str, sentences: Set[bytes] = frozenset()) -> list[list[bytes]]:
+    """The words of each line; an empty list for an empty line, none for a line that claims a copyright.
+
+    A line that goes on like one of ``sentences`` belongs to a license and claims nothing.
+    """
+    return [words for words, claim in _lines(text) if not claim or b" ".join(words[:SENTENCE_WORDS]) in sentences]
+
+
+def known_lines(text: str) -> list[list[bytes]]:
+    """Canonical lines of a known text, without its leading titles; claims are the lines above it and dated ones."""
+    lines = list(_lines(text))
+    above = next((i for i, (words, claim) in enumerate(lines) if words and not claim and tuple(words) not in _TITLE_WORDS), 0)
+    return [
+        words for words, claim in lines[above:]
+        if not claim or words[0] != b"all" and not _DATED.match(b" ".join(words))
+    ]
+
+
+def sentences_of(words: list[bytes]) -> Iterator[bytes]:
+    """What a line of a known text that looks like a claim may begin with, wherever the text is wrapped."""
+    for i, word in enumerate(words):
+        if word in (b"copyright", b"c"):
+            for n in range(1, SENTENCE_WORDS + 1):
+                yield b" ".join(words[i : i + n])
 
 
 def _digest(words: list[bytes]) -> bytes:
@@ -195,31 +225,34 @@ def known_table(spark: SparkSession) -> DataFrame:
 
 
 def _known_units(known: DataFrame) -> DataFrame:
-    """(digest, license, n_words, first): one row for each distinct text of a license, with and without titles it repeats inside."""
+    """(digest, license, n_words, first, sentences): one row for each distinct text of a license, with and without
+    titles it repeats inside."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for name, text in zip(batch.column("license").to_pylist(), texts_of(batch, "text")):
-                lines = canonical_lines(text)
-                body = lines[_untitled(lines):]
+                body = known_lines(text)
                 repeated = [tuple(x) in _TITLE_WORDS and not before for before, x in zip(body, body[1:])]
                 for form in (body, body[:1] + [x for x, title in zip(body[1:], repeated) if not title]):
                     if words := _joined(form):
-                        rows.append((_digest(words), name, len(words), words[0]))
-            digests, names, n, first = zip(*rows) if rows else ((),) * 4
+                        rows.append((_digest(words), name, len(words), words[0], sorted(set(sentences_of(words)))))
+            digests, names, n, first, sentences = zip(*rows) if rows else ((),) * 5
             yield pa.record_batch({
                 "digest": pa.array(digests, pa.binary()), "license": pa.array(names, pa.string()),
                 "n_words": pa.array(n, pa.int32()), "first": pa.array(first, pa.binary()),
+                "sentences": pa.array(sentences, pa.list_(pa.binary())),
             })
 
     source = known.select(F.col("license").cast("string"), F.col("text").cast("string"))
-    return source.mapInArrow(run, "digest binary, license string, n_words int, first binary").distinct()
+    return source.mapInArrow(run, "digest binary, license string, n_words int, first binary, sentences array<binary>").distinct()
 
 
-def units_of(text: str, shapes: dict[bytes, list[int]]) -> Iterator[tuple[str, list[bytes]]]:
+def units_of(
+    text: str, shapes: dict[bytes, list[int]], sentences: Set[bytes] = frozenset()
+) -> Iterator[tuple[str, list[bytes]]]:
     """The runs of lines with a first word and a number of words of ``shapes``, each once, with their names."""
-    lines = canonical_lines(text)
+    lines = canonical_lines(text, sentences)
     full = [i for i, line in enumerate(lines) if line]
     ends, total = {}, 0  # number of words up to the end of a line -> the line
     for i in full:
@@ -254,7 +287,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", known:
     shapes: dict[bytes, list[int]] = {}
     for n, first in units.select("n_words", "first").distinct().toLocalIterator():
         shapes.setdefault(bytes(first), []).append(n)
-    shared = spark.sparkContext.broadcast(shapes)
+    sentences = units.select(F.explode("sentences").alias("words")).distinct().toLocalIterator()
+    shared = spark.sparkContext.broadcast((shapes, frozenset(bytes(r.words) for r in sentences)))
     table = units.select("digest", F.col("license").alias("_license"))
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     id_type = source.schema["id"].dataType.simpleString()
@@ -263,7 +297,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", known:
         for batch in batches:
             at, units, digests = [], [], []
             for i, text in enumerate(texts_of(batch, "text")):
-                for unit, words in units_of(text, shared.value):
+                for unit, words in units_of(text, *shared.value):
                     at.append(i)
                     units.append(unit)
                     digests.append(_digest(words))

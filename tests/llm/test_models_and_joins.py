@@ -312,6 +312,24 @@ def test_license_files_and_runs_of_paragraphs(spark):
     assert sorted(map(tuple, both)) == [(1, "House", "run", 1), (2, "MIT", "text", 1)]
 
 
+def test_copyright_claims(spark):
+    claims = ["Copyright © 2020 X", "Copyright (c) X 2020", "(c) Copyright 2020 X", "Copyright Acme, Inc. All rights reserved.",
+              "Copyright (c) [year] [fullname]", "© Acme 2020", " * ©2020 Acme", "# (C) Acme", "Copyright 2020 X", "All rights reserved."]
+    mit = textwrap.dedent(license_scan.TEXTS["MIT"])
+    folder = os.path.join(os.path.dirname(license_scan.__file__), "licenses")
+    rows = [(c, f"{c}\n{mit}") for c in claims] + [(f"in {c}", mit.replace("The above", f"{c}\nThe above")) for c in claims]
+    rows.append(("c", "C is a language\n" + mit))
+    df = spark.createDataFrame(rows, "doc_id string, text string")
+    got = sorted((r.doc_id, r.license, r.unit, r.n_found) for r in license_scan.scan(df).collect())
+    assert got == sorted([(key, "MIT", "paragraph" if key == "c" else "text", 1) for key, _ in rows])
+    # Sentences of a license that begin with the word stay, at any width.
+    texts = [("MIT", mit)] + [(f.removesuffix(".txt"), open(os.path.join(folder, f), encoding="utf-8").read()) for f in sorted(os.listdir(folder))]
+    rows = [(f"{w} {name}", "\n".join(textwrap.fill(p, w) + "\n" for p in text.split("\n\n"))) for name, text in texts for w in range(50, 110, 3)]
+    df = spark.createDataFrame(rows, "doc_id string, text string")
+    got = sorted((r.doc_id, r.license, r.n_found) for r in license_scan.scan(df).where("unit IN ('text', 'paragraph')").collect())
+    assert got == sorted((key, key.split(" ")[1], 1) for key, _ in rows)
+
+
 def test_license_lines_against_plain_search(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     lines = docs.select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
