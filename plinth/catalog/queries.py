@@ -43,18 +43,6 @@ from plinth.staging import scratch_path, stage
 Query = Callable[[SparkSession, str], DataFrame]
 _REGISTRY: dict[str, Query] = {}
 
-# Trial sizes of the tree models; a production run takes the registry's own.
-TRIAL = {
-    "RandomForest": {"numTrees": 5, "maxDepth": 5},
-    "GradientBoosting": {"maxIter": 4},
-    "XGBoost": {"maxIter": 4, "maxDepth": 4},
-    "LightGBM": {"maxIter": 4, "maxDepth": 4},
-}
-TRIAL_CANDIDATES = [
-    {"maxIter": 3, "maxDepth": 3, "stepSize": 0.3, "minInstancesPerNode": 3},
-    {"maxIter": 4, "maxDepth": 4, "stepSize": 0.2, "minInstancesPerNode": 5},
-]
-
 
 def query(f: Query) -> Query:
     _REGISTRY[f.__name__] = f
@@ -572,19 +560,20 @@ def _split_rows(spark, d):
 @query
 def benchmark(spark, d):
     train, test = _split_rows(spark, d)
-    return evaluation.benchmark_models(train, test, models.model_registry(overrides=TRIAL))
+    return evaluation.benchmark_models(train, test, models.model_registry())
 
 
 @query
 def tune(spark, d):
     train, _ = _split_rows(spark, d)
-    return evaluation.tune(train, LISTING_KEYS, TRIAL_CANDIDATES)[1]
+    return evaluation.tune(train, LISTING_KEYS)[1]
 
 
 @query
 def oof_band(spark, d):
     train, _ = _split_rows(spark, d)
-    oof = evaluation.out_of_fold(train, LISTING_KEYS, models.ridge, n_splits=5)
+    best, _ = evaluation.tune(train, LISTING_KEYS)
+    oof = evaluation.out_of_fold(train, LISTING_KEYS, models.model_registry()["XGBoost"], best)
     band = evaluation.residual_band(oof)
     return oof.groupBy("fold").agg(
         F.count(F.lit(1)).alias("rows"), F.avg((F.abs(F.col("actual") - F.col("predicted")) <= band).cast("double")).alias("inside")
@@ -596,7 +585,8 @@ def score_listings(spark, d):
     train, test = _split_rows(spark, d)
     pipeline = features.build_feature_pipeline().fit(train)
     model = models.fit(models.ridge, stage(features.vectorize(pipeline, train), "vectors"))
-    artifact = ValuationModel(pipeline, model, interval_q90=20.0)
+    band = evaluation.residual_band(evaluation.out_of_fold(train, LISTING_KEYS, models.ridge))
+    artifact = ValuationModel(pipeline, model, interval_q90=band)
     path = scratch_path(spark, "artifact")
     artifact.save(spark, path)
     return scoring.score(test.drop("label", "actual"), ValuationModel.load(spark, path))
@@ -606,7 +596,7 @@ def score_listings(spark, d):
 def tree_explain(spark, d):
     train, test = _split_rows(spark, d)
     pipeline = features.build_feature_pipeline().fit(train)
-    booster = models.model_registry(overrides=TRIAL)["XGBoost"]
+    booster = models.model_registry()["XGBoost"]
     model = models.fit(booster, stage(features.vectorize(pipeline, train), "vectors"))
     ensemble = attribution.TreeEnsemble.from_model(spark, model)
     vectors = features.vectorize(pipeline, test, LISTING_KEYS)
@@ -619,9 +609,7 @@ def tree_explain(spark, d):
 def train_valuation(spark, d):
     """The whole training plan; returns the saved test predictions."""
     out = scratch_path(spark, "training")
-    train_final(
-        _training_rows(spark, d), LISTING_KEYS, out, models.model_registry(overrides=TRIAL), TRIAL_CANDIDATES, n_splits=2
-    )
+    train_final(_training_rows(spark, d), LISTING_KEYS, out)
     return spark.read.parquet(f"{out}/test_predictions")
 
 
