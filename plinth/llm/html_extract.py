@@ -29,6 +29,9 @@ from plinth.llm.shared import bounded_batches, texts_of
 
 # Fixed values of HTML: elements whose text is never shown, that stand inside a line, that have no end.
 UNSEEN = set("script style noscript template title head svg iframe object canvas audio video map select datalist".split())
+# What can stand in a head; any other tag ends it.  What ends with the block that holds it if it was not closed.
+IN_HEAD = set("base basefont bgsound link meta noframes noscript script style template title html head".split())
+HELD = set("select object canvas map".split())
 INLINE = set(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong"
     " sub sup time tt u var wbr".split()
@@ -71,6 +74,7 @@ class _Reader(HTMLParser):
         self.open = [0]  # nodes from the root to here
         self.counts = {"root": 1}  # of open elements by tag
         self.unseen: list[str] = []
+        self.inner: list[str] = []  # blocks opened within unseen elements that a block may end
         self.pieces: list[str] = []
         self.links = 0
 
@@ -99,14 +103,23 @@ class _Reader(HTMLParser):
             elif old in SCOPES and not (tag == "tr" and old in ("td", "th")):
                 return
 
+    def _ends_held(self, tag: str) -> bool:
+        """Whether the tag ends the block around an unclosed element that it cannot stand in."""
+        block = self.page.nodes[self.open[-1]].tag
+        ends = ENDS.get(block, ()) if block != "p" or self.unseen[0] != "select" else ENDS_P - {"div", "hr"}
+        return self.unseen[0] in HELD and not self.inner and tag in ends
+
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if self.unseen:
-            if tag == self.unseen[-1] and tag not in ("head", "title"):
-                self.unseen.append(tag)
-            elif tag == "body":
+            if tag == "body" or self.unseen == ["head"] and tag not in IN_HEAD or self._ends_held(tag):
                 self.unseen.clear()
+            elif tag != "head" and (self.unseen == ["head"] and tag in UNSEEN or tag == self.unseen[-1] != "title"):
+                self.unseen.append(tag)
+            elif self.unseen[0] in HELD and tag not in INLINE | VOID | UNSEEN | {"option", "optgroup"}:
+                self.inner.append(tag)
             if self.unseen:
                 return
+            self.inner.clear()
         if tag in UNSEEN:
             self.unseen.append(tag)
         elif tag in ("br", "wbr"):
@@ -129,8 +142,19 @@ class _Reader(HTMLParser):
 
     def handle_endtag(self, tag: str) -> None:
         if self.unseen:
-            if tag == self.unseen[-1]:
+            if tag == "head" == self.unseen[0]:
+                self.unseen.clear()
+            elif tag == self.unseen[-1]:
                 self.unseen.pop()
+                if not self.unseen:
+                    self.inner.clear()
+            elif tag in self.inner:
+                while self.inner.pop() != tag:
+                    pass
+            elif self.unseen[0] in HELD and tag not in INLINE and self.counts.get(tag):  # the block that holds it ends
+                self.unseen.clear()
+                self.inner.clear()
+                self.handle_endtag(tag)
         elif tag in INLINE:
             self.links = max(0, self.links - (tag == "a"))
         elif self.counts.get(tag):
@@ -141,6 +165,8 @@ class _Reader(HTMLParser):
             self._pop()
 
     def handle_data(self, data: str) -> None:
+        if self.unseen == ["head"] and data.strip():  # text ends a head, too
+            self.unseen.clear()
         if not self.unseen:
             self.pieces.append(data)
             if self.links:

@@ -247,6 +247,21 @@ def test_odd_pages(html_model):
     assert html_model.text("<article>" + "<div>" * 3000 + "deep text of some length here" + "</div>" * 10).count("deep") <= 1
 
 
+@pytest.mark.parametrize("html, want", [
+    ("<html><head><title>x</title><article><p>Hello there</p></article>", ["Hello there"]),
+    ("<head><title>a <b>x</b></title><meta name=a><noscript><p>no</p></noscript><template><p>no</p></template><p>Hi", ["Hi"]),
+    ("<head><noscript><p>no</head><p>Hi", ["Hi"]), ("<head><style>p{}</style>Text<p>Hi", ["Text", "Hi"]),
+    ("<head><title>x</title></head><p>Hi", ["Hi"]), ("<head><title>x</title><body><p>Hi", ["Hi"]),
+    ("<div><select><option>a<option>b</div><p>After", ["After"]), ("<div><select><option>a</option></select><p>After</div>", ["After"]),
+    ("<section><canvas><div>no</section><p>After", ["After"]), ("<div><map><area></div><p>After", ["After"]),
+    ("<div><object><div>no</div><p>no</p></object>In</div><p>After", ["In", "After"]), ("<div><object><p>no</div><p>After", ["After"]),
+    ("<ul><li>One<select><option>a<li>Two</ul><p>After", ["One", "Two", "After"]), ("<p>One<select><option>a<p>Two", ["One", "Two"]),
+    ("<table><tr><td>A<select><option>x<td>B</table>", ["A", "B"]), ("<p>One<object>no<p>no</p></object> two", ["One two"]),
+])
+def test_unclosed_unseen_elements(html, want):
+    assert [text for _, text in html_extract.read_page(html).blocks] == want
+
+
 def test_sum_product_against_enumeration():
     parents, own = [-1, 0, 0, 1, 1], [0.3, -1.0, 0.7, 2.0, -0.4]
     pair = [0.5, -0.2, 0.1, 0.9]
