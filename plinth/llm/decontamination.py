@@ -17,6 +17,7 @@ empty benchmark hits nothing; very long texts are scanned whole.
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
 import ahocorasick
@@ -81,16 +82,21 @@ def _pattern_lists(windows: DataFrame) -> Iterator[tuple[bool, list[tuple[str, i
         ]
 
 
-_BUILT: dict[int, object] = {}
+_BUILT: dict[str, object] = {}
+
+
+def _named(patterns: list) -> tuple[str, list]:
+    """A list of patterns with a name of its own, made on the driver; an address may return in a worker."""
+    return uuid.uuid4().hex, patterns
 
 
 def _built(broadcast) -> object | None:
-    """The automaton of a broadcast, built once in each Python worker."""
-    key = id(broadcast.value)
+    """The automaton of a broadcast list with its name, built once in each Python worker."""
+    key, patterns = broadcast.value
     if key not in _BUILT:
         _BUILT.clear()
         automaton = ahocorasick.Automaton()
-        for pattern, n, items in broadcast.value:
+        for pattern, n, items in patterns:
             automaton.add_word(pattern, (n, items))
         if len(automaton):
             automaton.make_automaton()
@@ -132,7 +138,7 @@ def spans_of(text: str, hit: set[int]) -> list[dict[str, int]]:
 
 def _scan(source: DataFrame, patterns: list, names: list[str], text_col: str, last: bool) -> DataFrame:
     """One pass over the documents; all but the last carry text, hits and items on to the next."""
-    shared = source.sparkSession.sparkContext.broadcast(patterns)
+    shared = source.sparkSession.sparkContext.broadcast(_named(patterns))
     carried = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields if f.name in names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import zlib
+from types import SimpleNamespace
 
 import duckdb
 import numpy as np
@@ -205,3 +206,11 @@ def test_kept_text_digest(spark, sf):
     row = queries.op1_line_dedup(spark, sf).where("n_dropped = 0").orderBy("doc_id").first()
     text = spark.read.parquet(f"{sf}/documents.parquet").where(f"doc_id = {row.doc_id}").first().text
     assert row.kept_sha256 == hashlib.sha256((text or "").encode()).hexdigest()
+
+
+def test_automata_do_not_depend_on_addresses(monkeypatch):
+    monkeypatch.setattr(decontamination, "id", lambda _: 1, raising=False)  # every list at one address
+    for word in ("alpha", "beta"):
+        shared = SimpleNamespace(value=decontamination._named([(f" {word} ", 1, [word])]))
+        assert decontamination.scan_text("alpha beta", decontamination._built(shared))[2] == {word}
+        assert decontamination._built(shared) is decontamination._built(shared)
