@@ -57,5 +57,15 @@ FROM docs d LEFT JOIN hits h USING (doc_id) LEFT JOIN listed l USING (doc_id)
 """
 
 
+EXACT_DEDUP = f"""
+WITH texts AS (
+    SELECT doc_id, {_lower("coalesce(text, '')")} AS t FROM documents
+)
+SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
+       row_number() OVER (PARTITION BY t ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, sha256(t) AS text_sha256
+FROM texts
+"""
+
+
 def statements() -> dict[str, str]:
-    return {"op1_line_dedup": LINE_DEDUP, "op3_decontamination": DECONTAMINATION}
+    return {"op1_line_dedup": LINE_DEDUP, "op3_decontamination": DECONTAMINATION, "op13_exact_dedup": EXACT_DEDUP}

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plinth.llm import (
-    decontamination, html_extract, jaccard_join, language_id, license_scan, line_dedup, packing, quality_model,
+    decontamination, exact_dedup, html_extract, jaccard_join, language_id, license_scan, line_dedup, packing, quality_model,
     quality_rules, token_store,
 )
 from plinth.staging import scratch_path
@@ -83,6 +83,13 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(_table(spark, sf_dir, "documents"))
 
 
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return exact_dedup.dedup(docs, keep="last").select(
+        "doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256")
+    )
+
+
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_line_dedup": op1_line_dedup,
@@ -95,4 +102,5 @@ def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality_model": op8_quality_model,
         "op9_token_store": op9_token_store,
         "op10_license_scan": op10_license_scan,
+        "op13_exact_dedup": op13_exact_dedup,
     }
