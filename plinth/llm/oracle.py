@@ -57,6 +57,66 @@ FROM docs d LEFT JOIN hits h USING (doc_id) LEFT JOIN listed l USING (doc_id)
 """
 
 
+HARD_NEGATIVES = """
+WITH v AS (
+    SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+           list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e
+    FROM embeddings
+    WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+    SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS same,
+           CAST(list_inner_product(a.e, b.e) AS BIGINT) AS score
+    FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE a.vec_id % 100 = 0
+), positives AS (
+    SELECT anchor_id, other AS positive_id, score AS positive_score FROM scored WHERE same
+    QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5
+)
+SELECT p.anchor_id, positive_id, CAST(row_number() OVER nearest AS INTEGER) AS rank, other AS negative_id, positive_score,
+       score AS negative_score
+FROM positives p JOIN scored s ON s.anchor_id = p.anchor_id AND NOT s.same
+ AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+WINDOW nearest AS (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, other)
+QUALIFY row_number() OVER nearest <= 10
+"""
+
+SOURCE_DIVERGENCE = f"""
+WITH docs AS (
+    SELECT row_number() OVER () AS d, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+           {_lower("coalesce(text, '')")} AS t
+    FROM documents
+), terms AS (
+    SELECT d, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM docs
+), kept AS (
+    SELECT lang, term, count(*) AS n FROM terms GROUP BY lang, term HAVING count(DISTINCT d) >= 30
+), groups AS (
+    SELECT DISTINCT lang, source FROM docs
+), cells AS (
+    SELECT lang, source, term, count(*) AS n FROM terms SEMI JOIN kept USING (lang, term) GROUP BY ALL
+), counts AS (
+    SELECT g.lang, g.source, k.term, k.n AS lang_n, coalesce(c.n, 0) AS n
+    FROM groups g JOIN kept k USING (lang) LEFT JOIN cells c USING (lang, source, term)
+), shares AS (
+    SELECT lang, source, term, n,
+           1 + CAST(1000000000 AS HUGEINT) * (n + 5) // (sum(n) OVER g + 5 * count(*) OVER g) AS p,
+           1 + CAST(1000000000 AS HUGEINT) * (lang_n + 5) // (sum(lang_n) OVER g + 5 * count(*) OVER g) AS q
+    FROM counts WINDOW g AS (PARTITION BY lang, source)
+), distances AS (
+    SELECT x.lang, x.source, y.source AS item, sum(abs(x.p - y.p)) AS value
+    FROM shares x JOIN shares y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL
+), found AS (
+    SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(d.value, 0) AS BIGINT) AS value
+    FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+    LEFT JOIN distances d ON d.lang = a.lang AND d.source = a.source AND d.item = b.source
+    UNION ALL
+    SELECT lang, source, 'term', term, CAST(p - q AS BIGINT) FROM shares WHERE n > 0 AND p > q
+)
+SELECT lang, source, part, item, value,
+       CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+FROM found
+QUALIFY part = 'pair' OR row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) <= 50
+"""
+
 EXACT_DEDUP = f"""
 WITH texts AS (
     SELECT doc_id, {_lower("coalesce(text, '')")} AS t FROM documents
@@ -68,4 +128,10 @@ FROM texts
 
 
 def statements() -> dict[str, str]:
-    return {"op1_line_dedup": LINE_DEDUP, "op3_decontamination": DECONTAMINATION, "op13_exact_dedup": EXACT_DEDUP}
+    return {
+        "op1_line_dedup": LINE_DEDUP,
+        "op3_decontamination": DECONTAMINATION,
+        "op11_hard_negatives": HARD_NEGATIVES,
+        "op12_source_divergence": SOURCE_DIVERGENCE,
+        "op13_exact_dedup": EXACT_DEDUP,
+    }

@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plinth.llm import (
-    decontamination, exact_dedup, html_extract, jaccard_join, language_id, license_scan, line_dedup, packing, quality_model,
-    quality_rules, token_store,
+    decontamination, divergence, exact_dedup, hard_negatives, html_extract, jaccard_join, language_id, license_scan,
+    line_dedup, packing, quality_model, quality_rules, token_store,
 )
 from plinth.staging import scratch_path
 
@@ -83,6 +83,16 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(_table(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = _table(spark, sf_dir, "embeddings").withColumn("label", moved)
+    return hard_negatives.mine(vectors, F.col("vec_id") % 100 == 0)
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_table(spark, sf_dir, "documents").select("text", "lang", "source"))
+
+
 def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return exact_dedup.dedup(docs, keep="last").select(
@@ -102,5 +112,7 @@ def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality_model": op8_quality_model,
         "op9_token_store": op9_token_store,
         "op10_license_scan": op10_license_scan,
+        "op11_hard_negatives": op11_hard_negatives,
+        "op12_source_divergence": op12_source_divergence,
         "op13_exact_dedup": op13_exact_dedup,
     }
