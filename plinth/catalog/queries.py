@@ -32,6 +32,7 @@ from plinth.operators import (
     scoring,
     split,
 )
+from plinth.operators.trees import TreeModel
 from plinth.plans.profile import run_profile
 from plinth.plans.quality_report import quality_report
 from plinth.plans.training import train_final
@@ -584,8 +585,9 @@ def oof_band(spark, d):
 def score_listings(spark, d):
     train, test = _split_rows(spark, d)
     pipeline = features.build_feature_pipeline().fit(train)
-    model = models.fit(models.ridge, stage(features.vectorize(pipeline, train), "vectors"))
-    band = evaluation.residual_band(evaluation.out_of_fold(train, LISTING_KEYS, models.ridge))
+    booster = models.model_registry()["XGBoost"]
+    model = models.fit(booster, stage(features.vectorize(pipeline, train), "vectors"))
+    band = evaluation.residual_band(evaluation.out_of_fold(train, LISTING_KEYS, booster))
     artifact = ValuationModel(pipeline, model, interval_q90=band)
     path = scratch_path(spark, "artifact")
     artifact.save(spark, path)
@@ -598,10 +600,9 @@ def tree_explain(spark, d):
     pipeline = features.build_feature_pipeline().fit(train)
     booster = models.model_registry()["XGBoost"]
     model = models.fit(booster, stage(features.vectorize(pipeline, train), "vectors"))
-    ensemble = attribution.TreeEnsemble.from_model(spark, model)
     vectors = features.vectorize(pipeline, test, LISTING_KEYS)
     names, categories = features.indexed_names(pipeline)
-    parts = attribution.tree_attributions(vectors, LISTING_KEYS, ensemble, names, categories=categories)
+    parts = attribution.tree_attributions(vectors, LISTING_KEYS, model, names, categories=categories)
     return attribution.explain(parts, LISTING_KEYS)
 
 
@@ -677,7 +678,7 @@ def _stump_trees():
         1: {"left": None, "rows": 3, "value": -1.0},
         2: {"left": None, "rows": 1, "value": 3.0},
     }
-    return attribution.TreeEnsemble().add_tree(deep).add_tree(flat, weight=0.5)
+    return TreeModel.from_nodes([(deep, 1.0), (flat, 0.5)])
 
 
 def _trees(spark, d):

@@ -9,8 +9,6 @@ from __future__ import annotations
 
 import sys
 from collections.abc import Iterator, Mapping, Sequence
-from dataclasses import dataclass, field
-from math import factorial
 
 import numpy as np
 import pandas as pd
@@ -22,11 +20,15 @@ from pyspark.sql import types as T
 
 from plinth.functions.text import feature_label
 from plinth.operators.features import FEATURES, INDEXED
-from plinth.staging import scratch_path, stage
+from plinth.operators.trees import TreeModel
+from plinth.staging import stage
 
 # Tasks get the functions below by value, so executors need no copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
+_NODE_BYTES = 45  # of a node in a broadcast
+_ROWS_AT_ONCE = 2048
+
 
 def linear_attributions(
     df: DataFrame, keys: Sequence[str], values: Column, names: Sequence[str], weights: Sequence[float],
@@ -44,174 +46,125 @@ def linear_attributions(
     return df.select(*keys, F.transform(values, slot).alias("attributions"))
 
 
-@dataclass
-class Leaf:
-    """A leaf with the distinct slots on its path: it is reached if every slot's value passes its test.
-
-    A test is ``(low, high)`` for ``low < x <= high``, or the categories let through, one bit each.
-    """
-
-    value: float
-    slots: list[int]
-    tests: list[tuple[float, float] | np.ndarray]
-    # Share of the training rows that go the leaf's way at the slot's splits.
-    share: np.ndarray
-
-    @property
-    def nbytes(self) -> int:
-        """Size in a broadcast, an upper estimate."""
-        return 300 + 16 * len(self.slots) + sum(t.nbytes + 120 if isinstance(t, np.ndarray) else 100 for t in self.tests)
+def expected_value(model: TreeModel) -> float:
+    """Prediction when no feature is known: leaves weighed by their training rows."""
+    weight = np.zeros(len(model.slot))
+    weight[model.roots] = 1.0
+    level = model.roots
+    while len(level := level[~model.is_leaf[level]]):
+        for side in (model.left, model.right):
+            weight[side[level]] = weight[level] * model.rows[side[level]] / model.rows[level]
+        level = np.concatenate([model.left[level], model.right[level]])
+    return float(model.base + (weight * model.value)[model.is_leaf].sum())
 
 
-@dataclass
-class TreeEnsemble:
-    """The leaves of a fitted tree ensemble."""
+def used_slots(model: TreeModel) -> list[int]:
+    return sorted(set(model.slot[~model.is_leaf].tolist()))
 
-    leaves: list[Leaf] = field(default_factory=list)
 
-    @property
-    def slots(self) -> list[int]:
-        return sorted({s for leaf in self.leaves for s in leaf.slots})
+class TreePaths:
+    """A tree laid out for attribution.
 
-    @property
-    def base(self) -> float:
-        """Expected prediction when no feature is known."""
-        return float(sum(leaf.value * leaf.share.prod() for leaf in self.leaves))
+    The players of a leaf are the distinct slots on its path; a row follows a player if it goes the
+    leaf's way at all splits of the slot. ``steps`` leads from the root down: each node has the
+    player that its parent's split adds or narrows.
+    """
 
-    def add_tree(self, nodes: dict[int, dict], weight: float = 1.0, root: int = 0) -> TreeEnsemble:
-        """Add a tree of nodes ``{left, right, slot, rows, value}`` with a ``threshold`` or with the
-        ``categories`` that go left of ``arity`` known ones; a leaf has no ``left``."""
-        pending = [(root, {})]
+    def __init__(self, model: TreeModel, root: int, place: Mapping[int, int]) -> None:
+        self.steps: list[tuple] = []  # node, parent, place of the slot, threshold, nominal, is left, player, is new
+        self.root = root
+        by_size: dict[int, list] = {}
+        pending = [(root, (), ())]
         while pending:
-            number, path = pending.pop()
-            node = nodes[number]
-            if node.get("left") is None:
-                slots = list(path)
-                share = np.array([path[s][1] for s in slots], dtype=float)
-                self.leaves.append(Leaf(weight * node["value"], slots, [path[s][0] for s in slots], share))
+            node, slots, shares = pending.pop()
+            if model.left[node] == node:
+                by_size.setdefault(len(slots), []).append((node, slots, shares))
                 continue
-            slot = node["slot"]
-            so_far, share = path.get(slot, (None, 1.0))
-            for child, test in zip((node["left"], node["right"]), _sides(node, so_far)):
-                part = share * nodes[child]["rows"] / node["rows"]
-                pending.append((child, path | {slot: (test, part)}))
-        return self
-
-    @classmethod
-    def from_model(cls, spark, model) -> TreeEnsemble:
-        """Read the trees of a fitted Spark random forest or boosted model from its saved form."""
-        path = scratch_path(spark, "trees")
-        model.write().save(path)
-        saved = spark.read.parquet(f"{path}/data").collect()
-        weights = list(model.treeWeights)
-        if type(model).__name__.startswith("RandomForest"):
-            weights = [w / sum(weights) for w in weights]
-        trees: dict[int, dict] = {}
-        for row in saved:
-            trees.setdefault(row.treeID, {})[row.nodeData.id] = _node(row.nodeData)
-        ensemble = cls()
-        for number, nodes in sorted(trees.items()):
-            ensemble.add_tree(nodes, weights[number])
-        return ensemble
-
-    def blocks(self, max_bytes: int) -> list[list[tuple]]:
-        """The leaves as plain tuples for the tasks, in blocks of at most ``max_bytes`` (or one leaf).
-
-        Slots become positions in ``slots``. An ensemble without a split is one empty block.
-        """
-        place = {slot: i for i, slot in enumerate(self.slots)}
-        out, size = [[]], 0
-        for leaf in self.leaves:
-            if not leaf.slots:
-                continue
-            if out[-1] and size + leaf.nbytes > max_bytes:
-                out.append([])
-                size = 0
-            size += leaf.nbytes
-            out[-1].append((np.array([place[s] for s in leaf.slots]), leaf.tests, leaf.share, leaf.value))
-        return out
-
-
-def _sides(node: dict, so_far) -> tuple:
-    """Tests of a slot left and right of a split, given the slot's test above it."""
-    if "categories" in node:
-        above = np.ones(node["arity"], dtype=bool)
-        if so_far is not None:
-            above = np.unpackbits(so_far, count=node["arity"]).astype(bool)
-        left = np.zeros(node["arity"], dtype=bool)
-        left[np.asarray(node["categories"], dtype=int)] = True
-        return np.packbits(above & left), np.packbits(above & ~left)
-    low, high = so_far or (-np.inf, np.inf)
-    threshold = node["threshold"]
-    return (low, min(high, threshold)), (max(low, threshold), high)
-
-
-def _passes(x: np.ndarray, test) -> np.ndarray:
-    if isinstance(test, tuple):
-        return (x > test[0]) & (x <= test[1])
-    number = x.astype(np.int64)
-    return (test[number >> 3] >> (7 - (number & 7))) & 1 == 1
-
-
-def contributions(leaves: list[tuple], x: np.ndarray) -> np.ndarray:
-    """Contributions of the used slots for a batch ``x`` of the same slots.
-
-    A leaf adds the same for all rows with the same tests passed, so its values are computed
-    once per pattern that occurs.
+            slot = place[int(model.slot[node])]
+            new = slot not in slots
+            player = len(slots) if new else slots.index(slot)
+            for child, is_left in ((int(model.left[node]), True), (int(model.right[node]), False)):
+                part = float(model.rows[child] / model.rows[node])
+                so_far = (*shares, part) if new else (*shares[:player], shares[player] * part, *shares[player + 1:])
+                self.steps.append((
+                    child, node, slot, float(model.threshold[node]), bool(model.nominal[node]), is_left, player, new
+                ))
+                pending.append((child, (*slots, slot) if new else slots, so_far))
+        # A node's parent comes before it: children are added as their parent is left.
+        self.groups = [
+            (k, [leaf[0] for leaf in leaves], np.array([leaf[1] for leaf in leaves]),
+             np.array([leaf[2] for leaf in leaves]), model.value[[leaf[0] for leaf in leaves]])
+            for k, leaves in sorted(by_size.items()) if k
+        ]
+
+    def add_to(self, out: np.ndarray, columns: np.ndarray) -> None:
+        """Add the tree's contributions for rows given by their used slots, ``columns``, to ``out``."""
+        n = columns.shape[1]
+        codes = {self.root: np.zeros(n, np.int64)}
+        for node, parent, slot, threshold, nominal, is_left, player, new in self.steps:
+            passes = (columns[slot] == threshold) if nominal else (columns[slot] <= threshold)
+            if not is_left:
+                passes = ~passes
+            bit = passes.astype(np.int64) << player
+            codes[node] = codes[parent] | bit if new else codes[parent] & (bit | ~(1 << player))
+        for k, nodes, slots, shares, values in self.groups:
+            if 1 << k <= max(n, 64):
+                patterns = (np.arange(1 << k)[:, None] >> np.arange(k)) & 1
+                table = leaf_shapley(values, shares, np.broadcast_to(patterns, (len(nodes), *patterns.shape)))
+                for leaf, node in enumerate(nodes):
+                    out[:, slots[leaf]] += table[leaf][codes[node]]
+            else:  # only the patterns that occur
+                for leaf, node in enumerate(nodes):
+                    seen, which = np.unique(codes[node], return_inverse=True)
+                    patterns = (seen[None, :, None] >> np.arange(k)) & 1
+                    table = leaf_shapley(values[leaf:leaf + 1], shares[leaf:leaf + 1], patterns)
+                    out[:, slots[leaf]] += table[0][which.reshape(-1)]
+
+
+def leaf_shapley(values: np.ndarray, shares: np.ndarray, follows: np.ndarray) -> np.ndarray:
+    """Shapley values of leaves for 0/1 patterns of followed players: (leaves, patterns, players).
+
+    With a set S of known players a leaf counts ``value * prod_S follows * prod_rest share`` (the path-dependent
+    expectation). The weights of the sets are integrals of ``t^|S| (1 - t)^|rest|``, so player i gets
+    ``value * (follows_i - share_i)`` times the integral over t of the product of ``follows_j t + share_j (1 - t)`` over
+    the others: a polynomial, which Gauss-Legendre points integrate exactly. No set is enumerated.
     """
+    k = shares.shape[1]
+    points, weights = np.polynomial.legendre.leggauss((k + 1) // 2)
+    points, weights = (points + 1) / 2, weights / 2
+    share, follow = shares[:, None, :], follows.astype(float)
+    total = np.zeros(follow.shape)
+    for t, weight in zip(points, weights):
+        factor = follow * t + share * (1 - t)
+        product = factor.prod(axis=2, keepdims=True)
+        total += weight * np.divide(product, factor, out=np.zeros(factor.shape), where=factor > 0)
+    return values[:, None, None] * (follow - share) * total
+
+
+def contributions(trees: Sequence[TreePaths], x: np.ndarray) -> np.ndarray:
+    """Contributions of the used slots for a batch ``x`` of the same slots."""
     out = np.zeros(x.shape)
-    columns = np.ascontiguousarray(x.T)
-    for at, tests, share, value in leaves:
-        code = np.zeros(len(x), dtype=np.int64)
-        for bit, (slot, test) in enumerate(zip(at, tests)):
-            code |= _passes(columns[slot], test).astype(np.int64) << bit
-        codes, which = np.unique(code, return_inverse=True)
-        patterns = (codes[:, None] >> np.arange(len(at))) & 1
-        out[:, at] += leaf_shapley(value, share, patterns)[which.reshape(-1)]
+    for start in range(0, len(x), _ROWS_AT_ONCE):
+        part = slice(start, start + _ROWS_AT_ONCE)
+        columns = np.ascontiguousarray(x[part].T)
+        for tree in trees:
+            tree.add_to(out[part], columns)
     return out
 
 
-def _node(saved) -> dict:
-    split = saved.split
-    node = {"value": saved.prediction, "rows": float(saved.rawCount), "left": None}
-    if saved.leftChild >= 0:
-        left, right = saved.leftChild, saved.rightChild
-        if split.numCategories < 0:
-            test = {"threshold": split.leftCategoriesOrThreshold[0]}
-        elif split.numCategories == 2:
-            # Split between 0 and 1, mirrored if the 1s go left.
-            test = {"threshold": 0.5}
-            if split.leftCategoriesOrThreshold[0] == 1.0:
-                left, right = right, left
-        else:
-            test = {"categories": list(split.leftCategoriesOrThreshold), "arity": split.numCategories}
-        node |= {"left": left, "right": right, "slot": split.featureIndex} | test
-    return node
-
-
-def leaf_shapley(value: float, share: np.ndarray, follows: np.ndarray) -> np.ndarray:
-    """Shapley values of one leaf for each 0/1 decision pattern.
-
-    With a set S of known features the leaf counts ``value * prod_S follows * prod_rest share``
-    (the path-dependent expectation). The products over all S of a size are the coefficients
-    of ``prod_j (share_j + follows_j t)``, so no set is enumerated.
-    """
-    follows = follows.astype(float)
-    k = len(share)
-    weight = np.array([factorial(s) * factorial(k - 1 - s) / factorial(k) for s in range(k)])
-    # Row i of the sums leaves feature i out; all rows grow together, one feature at a time.
-    sums = np.zeros((k, len(follows), k))
-    sums[:, :, 0] = 1.0
-    for j in range(k):
-        grown = sums * share[j]
-        grown[:, :, 1:] += sums[:, :, :-1] * follows[:, j, None]
-        grown[j] = sums[j]
-        sums = grown
-    return value * (follows - share) * (sums @ weight).T
+def tree_blocks(model: TreeModel, max_bytes: int) -> list[tuple[int, int]]:
+    """Ranges of trees whose nodes take at most ``max_bytes`` (or one tree)."""
+    ends = [*model.roots[1:].tolist(), len(model.slot)]
+    out, first = [], 0
+    for tree, end in enumerate(ends):
+        if tree > first and (end - model.roots[first]) * _NODE_BYTES > max_bytes:
+            out.append((first, tree))
+            first = tree
+    return [*out, (first, len(ends))] if len(ends) else []
 
 
 def tree_attributions(
-    df: DataFrame, keys: Sequence[str], ensemble: TreeEnsemble, names: Sequence[str], values: Column | None = None,
+    df: DataFrame, keys: Sequence[str], model: TreeModel, names: Sequence[str], values: Column | None = None,
     categories: Mapping[int, Sequence[str]] | None = None, max_bytes: int = 64 << 20,
 ) -> DataFrame:
     """Path-dependent tree Shapley values of every row; only the slots the trees use are listed.
@@ -225,7 +178,7 @@ def tree_attributions(
     """
     if values is None:
         values = vector_to_array(FEATURES if categories is None else INDEXED)
-    slots = ensemble.slots
+    slots = used_slots(model)
     labels = {i: list(categories[s]) for i, s in enumerate(slots) if s in (categories or {})}
     used = [names[s] for s in slots]
     is_used = F.expr("array(" + ",".join(str(i in set(slots)).lower() for i in range(len(names))) + ")")
@@ -237,44 +190,39 @@ def tree_attributions(
 
     def adding(block):
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            nodes, place = block.value
+            trees = [TreePaths(nodes, int(root), place) for root in nodes.roots]
             for batch in batches:
                 x, before = (
                     np.array(batch[c].tolist(), dtype=float).reshape(len(batch), len(slots))
                     for c in ("feature_value", "contribution")
                 )
-                yield batch.assign(contribution=list(before + contributions(block.value, x)))
+                yield batch.assign(contribution=list(before + contributions(trees, x)))
 
         return run
 
-    context = df.sparkSession.sparkContext
-    for number, block in enumerate(ensemble.blocks(max_bytes)):
+    spark = df.sparkSession
+    place = {slot: i for i, slot in enumerate(slots)}
+    for number, (first, last) in enumerate(tree_blocks(model, max_bytes) if slots else []):
         if number:
             explained = stage(explained, "explained")
-        explained = explained.mapInPandas(adding(context.broadcast(block)), explained.schema)
-
-    if labels:
-        known = context.broadcast(labels)
-
-        def named(value: pd.Series) -> pd.Series:
-            def names_of(row):
-                out = list(used)
-                for i, of_slot in known.value.items():
-                    number = int(row[i])
-                    out[i] += "_" + (of_slot[number] if number < len(of_slot) else "unknown")
-                return out
-
-            return value.map(names_of)
-
-        raw = F.pandas_udf(named, "array<string>")(F.col("feature_value"))
-        limit = F.expr("array(" + ",".join(str(len(labels[i]) if i in labels else -1) for i in range(len(slots))) + ")")
-        shown = F.transform("feature_value", lambda x, i: F.when(
-            F.get(limit, i) >= 0, (x < F.get(limit, i)).cast("double")
-        ).otherwise(x))
-    else:
-        raw, shown = F.array(*[F.lit(n) for n in used]), F.col("feature_value")
-    columns = {"slot": F.array(*[F.lit(s) for s in slots]), "raw_feature": raw, "feature_value": shown}
+        block = spark.sparkContext.broadcast((model.part(first, last), place))
+        explained = explained.mapInPandas(adding(block), explained.schema)
+
+    named = [F.lit(n) for n in used]
+    shown = [F.get("feature_value", F.lit(i)) for i in range(len(used))]
+    for i, of_slot in labels.items():
+        # One row per category the model knows; the row's number finds its name.
+        known = spark.createDataFrame(pd.DataFrame({f"_number{i}": range(len(of_slot)), f"_label{i}": of_slot}))
+        number = F.get("feature_value", F.lit(i)).cast("long")
+        explained = explained.join(F.broadcast(known), number == F.col(f"_number{i}"), "left")
+        named[i] = F.concat(F.lit(used[i] + "_"), F.coalesce(f"_label{i}", F.lit("unknown")))
+        shown[i] = F.col(f"_number{i}").isNotNull().cast("double")
+    columns = {"slot": F.array(*[F.lit(s) for s in slots]), "raw_feature": F.array(*named), "feature_value": F.array(*shown)}
+    # One projection: the shown values read the array they replace.
+    listed = explained.select(*keys, "contribution", *[c.alias(n) for n, c in columns.items()])
     zipped = F.arrays_zip("slot", "raw_feature", "feature_value", "contribution")
-    return explained.withColumns(columns).select(*keys, zipped.alias("attributions"))
+    return listed.select(*keys, zipped.alias("attributions"))
 
 
 def explain(attributions: DataFrame, keys: Sequence[str], top_n: int = 8) -> DataFrame:

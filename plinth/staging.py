@@ -10,9 +10,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from typing import TypeVar
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
+T = TypeVar("T")
+
 _CHECKPOINT_KEY = "spark.checkpoint.dir"
 
 # Settings a job of ours relies on; every one can be overridden by the submitter.
@@ -64,3 +70,11 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def at_once(calls: Sequence[Callable[[], T]], most: int = 8) -> list[T]:
+    """Results of independent calls that run jobs, started together; the scheduler shares the cores among their jobs."""
+    if not calls:
+        return []
+    with ThreadPoolExecutor(min(most, len(calls))) as pool:
+        return [f.result() for f in [pool.submit(inheritable_thread_target(c)) for c in calls]]

@@ -4,11 +4,11 @@ from math import factorial
 import numpy as np
 import pytest
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import functions as F
 
 from plinth.operators import attribution, features, models
-from plinth.operators.attribution import TreeEnsemble, contributions
+from plinth.operators.attribution import TreePaths
+from plinth.operators.trees import TreeModel
 
 NAMES = ["num__total_sqft", "num__bath", "cat__area_type_Plot Area"]
 
@@ -56,33 +56,41 @@ def brute_force(trees, x):
 
 def goes_left(node, x):
     value = x[node["slot"]]
-    return int(value) in node["categories"] if "categories" in node else value <= node["threshold"]
+    return value == node["category"] if "category" in node else value <= node["threshold"]
 
 
 @pytest.mark.parametrize("max_bytes", [1 << 20, 1])
-def test_equals_brute_force_shapley(max_bytes):
+@pytest.mark.parametrize("batch", [25, 400])
+def test_equals_brute_force_shapley(max_bytes, batch):
     rng = np.random.default_rng(5)
     trees = [random_tree(rng, 4, 4) for _ in range(3)]
     x = rng.normal(size=(25, 4))
-    x[:, 3] = rng.integers(11, size=25)
-    for nodes in trees:  # the last slot is nominal, with 11 categories
+    x[:, 3] = rng.integers(5, size=25)
+    for nodes in trees:  # the last slot is nominal, with 5 categories
         for node in nodes.values():
             if node.get("slot") == 3:
-                node["categories"], node["arity"] = rng.permutation(11)[:5].tolist(), 11
-    ensemble = TreeEnsemble()
-    for nodes in trees:
-        ensemble.add_tree(nodes)
-    blocks = ensemble.blocks(max_bytes)
-    assert len(blocks) == (1 if max_bytes > 1 else len(ensemble.leaves))
-    got = np.zeros(x.shape)
-    for block in blocks:
-        got[:, ensemble.slots] += contributions(block, x[:, ensemble.slots])
-    assert got == pytest.approx(np.array([brute_force(trees, row) for row in x]), abs=1e-10)
-    assert ensemble.base == pytest.approx(sum(expectation(t, x[0], set()) for t in trees))
+                node["category"] = int(rng.integers(5))
+    model = TreeModel.from_nodes([(nodes, 1.0) for nodes in trees], base=0.25)
+    blocks = attribution.tree_blocks(model, max_bytes)
+    assert len(blocks) == (1 if max_bytes > 1 else 3)
+    slots = attribution.used_slots(model)
+    place = {s: i for i, s in enumerate(slots)}
+    many = np.tile(x, (batch // 25, 1))  # more rows than patterns, and fewer
+    got = np.zeros(many.shape)
+    for first, last in blocks:
+        part = model.part(first, last)
+        paths = [TreePaths(part, int(root), place) for root in part.roots]
+        got[:, slots] += attribution.contributions(paths, many[:, slots])
+    want = np.array([brute_force(trees, row) for row in x])
+    assert got == pytest.approx(np.tile(want, (batch // 25, 1)), abs=1e-10)
+    base = attribution.expected_value(model)
+    assert base == pytest.approx(0.25 + sum(expectation(t, x[0], set()) for t in trees))
+    assert base + got.sum(axis=1) == pytest.approx(model.predict(many))
 
 
 @pytest.mark.parametrize("learner, settings", [
-    (GBTRegressor, {"maxIter": 5, "maxDepth": 4, "stepSize": 0.3}), (RandomForestRegressor, {"numTrees": 4, "maxDepth": 11}),
+    (models.xgboost_like, {"rounds": 30, "max_depth": 7, "step": 0.2}), (models.lightgbm_like, {"rounds": 10, "min_rows": 3}),
+    (models.random_forest, {"trees": 4}), (models.gradient_boosting, {"rounds": 5}),
 ])
 @pytest.mark.parametrize("max_bytes", [64 << 20, 20_000])
 def test_base_plus_contributions_is_the_prediction(spark, learner, settings, max_bytes):
@@ -91,12 +99,11 @@ def test_base_plus_contributions_is_the_prediction(spark, learner, settings, max
         (F.col("id") % 2).cast("double").alias("c"), (F.col("id") * 31 % 53).cast("double").alias("d"),
     ).withColumn("label", F.sin("a") * F.col("b") + F.col("c") * 9 - F.col("d"))
     df = VectorAssembler(inputCols=["a", "b", "c", "d"], outputCol="features").transform(df)
-    model = learner(seed=1, **settings).fit(df)
-    ensemble = TreeEnsemble.from_model(spark, model)
+    model = models.fit(learner, df, seed=1, **settings)
     scored = model.transform(df).select("id", "features", "prediction")
     names = ["num__a", "num__b", "cat__c", "num__d"]
-    parts = attribution.tree_attributions(scored, ["id", "prediction"], ensemble, names, max_bytes=max_bytes)
-    total = F.aggregate("attributions", F.lit(ensemble.base), lambda s, a: s + a.contribution)
+    parts = attribution.tree_attributions(scored, ["id", "prediction"], model, names, max_bytes=max_bytes)
+    total = F.aggregate("attributions", F.lit(attribution.expected_value(model)), lambda s, a: s + a.contribution)
     assert parts.count() == 400
     assert parts.filter(F.abs(total - F.col("prediction")) > 1e-6).count() == 0
 
@@ -110,11 +117,11 @@ def test_nominal_slots_report_the_category_of_the_row(spark):
     ).withColumn("label", F.col("total_sqft") / 100 + F.substring("location", 2, 1).cast("int") % 4)
     pipeline = features.build_feature_pipeline().fit(df)
     train = features.vectorize(pipeline, df, ["id", "label"])
-    model = models.fit(models.xgboost_like, train, maxIter=4, maxDepth=4, stepSize=0.3)
-    assert model.getOrDefault("featuresCol") == "indexed"
-    ensemble, (names, categories) = TreeEnsemble.from_model(spark, model), features.indexed_names(pipeline)
-    parts = attribution.tree_attributions(model.transform(train), ["id", "prediction"], ensemble, names, categories=categories)
-    total = F.aggregate("attributions", F.lit(ensemble.base), lambda s, a: s + a.contribution)
+    model = models.fit(models.xgboost_like, train, maxIter=8, maxDepth=4, stepSize=0.3)
+    assert model.input_column == "indexed" and model.nominal.any()
+    names, categories = features.indexed_names(pipeline)
+    parts = attribution.tree_attributions(model.transform(train), ["id", "prediction"], model, names, categories=categories)
+    total = F.aggregate("attributions", F.lit(attribution.expected_value(model)), lambda s, a: s + a.contribution)
     assert parts.filter(F.abs(total - F.col("prediction")) > 1e-6).count() == 0
     cells = parts.select("id", F.inline("attributions")).filter("raw_feature LIKE 'cat__location%'").join(df, "id")
     wrong = (F.col("raw_feature") != F.concat(F.lit("cat__location_"), "location")) | (F.col("feature_value") != 1)
@@ -122,6 +129,11 @@ def test_nominal_slots_report_the_category_of_the_row(spark):
     importance = {r.raw_feature: r.mean_abs_shap for r in attribution.global_importance(parts).collect()}
     mean = cells.filter("location = 'P1'").agg(F.sum(F.abs("contribution"))).first()[0] / 600
     assert importance["cat__location_P1"] == pytest.approx(mean)
+    new = train.select("id", "indexed").withColumn("prediction", F.lit(0.0)).limit(0).unionByName(
+        model.transform(features.vectorize(pipeline, df.withColumn("location", F.lit("elsewhere")), ["id"])).select("id", "indexed", "prediction")
+    )
+    unknown = attribution.tree_attributions(new, ["id"], model, names, categories=categories).select(F.inline("attributions"))
+    assert unknown.filter("raw_feature = 'cat__location_unknown' AND feature_value = 0").count() == 600
 
 
 def test_explain_reports_active_slots_best_first(spark):
