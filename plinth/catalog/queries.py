@@ -182,7 +182,7 @@ def iqr_outliers(spark, d):
 def iqr_outliers_bracketed(spark, d):
     """The large-input plan of the quantiles, forced."""
     lines = table(spark, d, "lineitem")
-    return neat(quality.iqr_outliers(lines, ["l_quantity", "l_extendedprice", "l_discount", "l_tax"], small_rows=0))
+    return neat(quality.iqr_outliers(lines, ["l_quantity", "l_extendedprice", "l_discount", "l_tax"], sort_rows=100, accuracy=100))
 
 
 # --- cleaning -------------------------------------------------------------------------
@@ -246,7 +246,7 @@ def numeric_summary(spark, d):
 @query
 def numeric_summary_bracketed(spark, d):
     lines = table(spark, d, "lineitem")
-    return neat(profiling.numeric_summary(lines, ["l_quantity", "l_extendedprice", "l_discount"], small_rows=0), 3)
+    return neat(profiling.numeric_summary(lines, ["l_quantity", "l_extendedprice", "l_discount"], sort_rows=100, accuracy=100), 3)
 
 
 @query
@@ -319,7 +319,7 @@ def location_stats_counts(spark, d):
 def location_stats_bracketed(spark, d):
     """Many groups, with both large-input plans forced: bracketed quantiles, hot and cold keys apart."""
     rows = _market(spark, d)
-    return neat(market.location_statistics(rows, "l_partkey", 25, small_rows=0, broadcast_rows=10)["qualified"], 2)
+    return neat(market.location_statistics(rows, "l_partkey", 25, sort_rows=10, broadcast_bytes=0)["qualified"], 2)
 
 
 @query
@@ -375,7 +375,7 @@ def histogram_median(spark, d):
 @query
 def histogram_median_in_range(spark, d):
     rows = market.with_unit_price(sales(spark, d)).filter(charts.in_range("price_per_sqft", (120000000, 180000000)))
-    return neat(charts.histogram_median(rows, "price_per_sqft", small_rows=0), 2)
+    return neat(charts.histogram_median(rows, "price_per_sqft", sort_rows=100, accuracy=100), 2)
 
 
 @query
@@ -386,7 +386,7 @@ def box_stats(spark, d):
 @query
 def box_stats_bracketed(spark, d):
     lines = table(spark, d, "lineitem")
-    return neat(charts.box_stats(lines, "l_returnflag", "l_extendedprice", small_rows=0), 3)
+    return neat(charts.box_stats(lines, "l_returnflag", "l_extendedprice", sort_rows=100, accuracy=100), 3)
 
 
 @query
@@ -527,7 +527,7 @@ def regression_metrics_by_group(spark, d):
 
 @query
 def regression_metrics_bracketed(spark, d):
-    return neat(evaluation.regression_metrics(_guesses(spark, d), by=["o_orderpriority"], small_rows=0), 3)
+    return neat(evaluation.regression_metrics(_guesses(spark, d), by=["o_orderpriority"], sort_rows=100, accuracy=100), 3)
 
 
 @query

@@ -29,7 +29,7 @@ def test_overview(clean):
     assert overview["numerical_columns"] == ["total_sqft", "bhk", "bath", "balcony", "price"]
 
 
-@pytest.mark.parametrize("sizing", [{}, {"small_rows": 0}])
+@pytest.mark.parametrize("sizing", [{}, {"sort_rows": 3}])
 def test_target_statistics(clean, pdf, sizing):
     row = profiling.target_statistics(clean, "price", **sizing).first()
     price = pdf["price"]
@@ -121,7 +121,7 @@ def test_histogram_has_every_bin_and_row(spark):
     assert charts.histogram(spark.createDataFrame([(None,)], "x double"), "x", 4).count() == 0
 
 
-@pytest.mark.parametrize("sizing", [{}, {"small_rows": 0}])
+@pytest.mark.parametrize("sizing", [{}, {"sort_rows": 3}])
 def test_box_stats(spark, sizing):
     df = spark.createDataFrame([("a", v) for v in (1.0, 2.0, 3.0, 4.0, 100.0)] + [("b", 5.0)], "g string, price double")
     rows = {r.g: r for r in charts.box_stats(df, "g", **sizing).collect()}

@@ -60,7 +60,7 @@ def test_impossible_values(spark, tidy, dirty):
 
 def test_iqr_outliers(spark):
     df = spark.createDataFrame([(x, "t", None) for x in (10.0, 12.0, 11.0, 13.0, 12.5, 11.8, 500.0)], "price double, s string, e double")
-    for sizing in ({}, {"small_rows": 0}):
+    for sizing in ({}, {"sort_rows": 3}):
         rows = quality.iqr_outliers(df, **sizing).collect()
         assert [(r.column_name, r.outlier_count) for r in rows] == [("price", 1)]
     assert quality.iqr_outliers(df, ["absent", "price"]).count() == 1

@@ -6,6 +6,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from plinth.operators.attach import attach
+from plinth.operators import quantiles as module
 from plinth.operators.quantiles import quantiles
 from plinth.staging import stage
 
@@ -36,7 +37,7 @@ def check(result, pdf, columns, by=None):
     assert expected == len(got)
 
 
-@pytest.mark.parametrize("sizing", [{}, {"small_rows": 0}, {"small_rows": 0, "accuracy": 100}])
+@pytest.mark.parametrize("sizing", [{}, {"accuracy": 100}, {"accuracy": 100, "sort_rows": 40}, {"sort_rows": 7}])
 def test_global_quantiles(spark, sizing):
     pdf = skewed()
     check(quantiles(spark.createDataFrame(pdf), ["v", "w"], PROBS, **sizing), pdf, ["v", "w"])
@@ -44,7 +45,7 @@ def test_global_quantiles(spark, sizing):
 
 @pytest.mark.parametrize(
     "sizing",
-    [{}, {"small_rows": 0}, {"small_rows": 0, "accuracy": 100}, {"small_rows": 0, "accuracy": 100, "broadcast_rows": 0}],
+    [{}, {"accuracy": 100}, {"accuracy": 100, "broadcast_bytes": 0, "sort_rows": 300}, {"accuracy": 100, "sort_rows": 30}],
 )
 def test_grouped_quantiles_with_a_hot_key(spark, sizing):
     pdf = skewed()
@@ -55,32 +56,62 @@ def test_grouped_quantiles_with_a_hot_key(spark, sizing):
 @given(st.lists(st.floats(-1e6, 1e6) | st.sampled_from([0.0, 1.0]), min_size=1, max_size=60))
 def test_any_small_sample(spark, values):
     pdf = pd.DataFrame({"v": values})
-    check(quantiles(spark.createDataFrame(pdf), ["v"], PROBS, small_rows=0), pdf, ["v"])
+    check(quantiles(spark.createDataFrame(pdf), ["v"], PROBS), pdf, ["v"])
 
 
 def test_null_groups_are_left_out_and_extras_ride_along(spark):
     rows = spark.createDataFrame([("a", 1.0), ("a", 3.0), (None, 9.0), ("b", None)], "k string, v double")
-    for small in (0, 100):
-        got = quantiles(rows, ["v"], [0.5], by=["k"], extra={"top": F.max("value")}, small_rows=small).collect()
+    for few in (1, 100):
+        got = quantiles(rows, ["v"], [0.5], by=["k"], extra={"top": F.max("value")}, sort_rows=few).collect()
         assert [(r.k, r.n, r.q, r.top) for r in got] == [("a", 2, [2.0], 3.0)]
 
 
 def test_one_column_needs_no_join(spark):
     rows = spark.createDataFrame(skewed())
-    got = quantiles(rows, ["v"], PROBS, extra={"top": F.max("value")}, small_rows=0)
+    got = quantiles(rows, ["v"], PROBS, extra={"top": F.max("value")})
     assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
     assert got.first().top == skewed().v.max()
-    assert quantiles(rows.filter("false"), ["v"], PROBS, small_rows=0).count() == 0
+    assert quantiles(rows.filter("false"), ["v"], PROBS).count() == 0
 
 
-@pytest.mark.parametrize("limit", [1000, 0])
+def test_brackets_that_miss_are_widened(spark, monkeypatch):
+    """A sketch that is wrong altogether costs another round, not the result."""
+    pdf = skewed(4000)
+
+    def nowhere(n_probs, accuracy):
+        return F.array(*[F.lit(float(v)) for _ in range(n_probs) for v in (-5.0, -4.0)])
+
+    monkeypatch.setattr(module, "_bracket_ends", nowhere)
+    rows = spark.createDataFrame(pdf)
+    check(quantiles(rows, ["v", "w"], PROBS, sort_rows=100), pdf, ["v", "w"])
+    check(quantiles(rows, ["v"], PROBS, by=["k"], sort_rows=100), pdf, ["v"], "k")
+
+
+def test_no_task_sorts_more_than_it_may(spark, monkeypatch):
+    """One group of 40,000 distinct values: what is left to sort is bounded, and is counted here."""
+    seen, refined = [], module._refined
+
+    def watched(counted, keys, probs, sort_rows):
+        out = refined(counted, keys, probs, sort_rows)
+        seen.append((counted.count(), out.groupBy(*keys).count().agg(F.max("count")).first()[0]))
+        return out
+
+    monkeypatch.setattr(module, "_refined", watched)
+    rows = spark.range(40_000).select(F.lit("hot").alias("k"), (F.col("id") * 7919 % 40_009).cast("double").alias("v"))
+    got = quantiles(rows, ["v"], [0.5], by=["k"], accuracy=10, sort_rows=500).first()
+    values = np.sort(np.arange(40_000) * 7919 % 40_009)
+    assert got.q == [np.quantile(values, 0.5)]
+    assert seen[0][0] > 5000 and seen[0][1] <= 500
+
+
+@pytest.mark.parametrize("limit", [1 << 20, 0])
 def test_attach_inner_and_left(spark, limit):
     pdf = pd.DataFrame({"k": ["hot"] * 900 + [f"c{i}" for i in range(50)] * 2 + [None] * 7, "i": range(1007)})
     rows = spark.createDataFrame(pdf)
     sizes = rows.dropna(subset=["k"]).filter("k != 'c7'").groupBy("k").agg(F.count("i").alias("n"))
     sizes = stage(sizes.withColumn("label", F.upper("k")), "sizes")
-    inner = attach(rows, sizes, ["k"], "n", broadcast_rows=limit)
+    inner = attach(rows, sizes, ["k"], "n", broadcast_bytes=limit)
     assert inner.count() == 998 and inner.columns == ["k", "i", "label"]
-    left = attach(rows, sizes, ["k"], "n", how="left", broadcast_rows=limit)
+    left = attach(rows, sizes, ["k"], "n", how="left", broadcast_bytes=limit)
     assert left.count() == 1007 and left.select("i").distinct().count() == 1007
     assert left.filter("label IS NULL").count() == 9
