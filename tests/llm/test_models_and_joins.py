@@ -376,3 +376,50 @@ def test_pipeline_stages(spark, sf, tmp_path):
     assert after.count() < before.count()
     before, after = seen["packing"]
     assert {r.doc_id for r in before.collect()} == {r.doc_id for r in after.collect()}
+
+
+def template_pages(n, own, paragraphs=1, seed=4):
+    """Pages of one template (or of three of some paragraphs) and ``own`` words of their own."""
+    rng = random.Random(seed)
+    parts = [[f"p{k}w{i}" for i in range(240 // min(paragraphs, 3))] for k in range(paragraphs)]
+    rows = []
+    for i in range(n):
+        chosen = sorted(rng.sample(range(paragraphs), min(paragraphs, 3)))
+        rows.append((i, " ".join([w for k in chosen for w in parts[k]] + [f"own{i}x{j}" for j in range(own)])))
+    return rows
+
+
+@pytest.mark.parametrize("own, paragraphs", [(30, 1), (24, 1), (8, 6)])
+def test_template_pages_link_as_brute_force_says(spark, own, paragraphs):
+    rows = template_pages(260, own, paragraphs)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.component_id for r in jaccard_join.near_duplicates(df).collect()}
+    sets = {i: {tuple(w[j:j + 5]) for j in range(len(w) - 4)} for i, w in ((i, t.split()) for i, t in rows)}
+    root = {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in sets:
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    assert got == {i: find(i) for i in sets}
+
+
+def test_template_pages_are_not_compared_in_pairs(spark, monkeypatch):
+    """No pair of pages that share the template only reaches the verification, the typical page's aside."""
+    asked, common = [], jaccard_join._common
+
+    def watched(pairs, sets):
+        out = common(pairs, sets)
+        asked.append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard_join, "_common", watched)
+    df = spark.createDataFrame(template_pages(1500, 30), "doc_id long, text string").repartition(4)
+    assert jaccard_join.near_duplicates(df).where("component_id != doc_id").count() == 0
+    assert asked[0] <= 1500 and sum(asked[1:]) == 0
