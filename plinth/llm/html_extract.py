@@ -48,6 +48,8 @@ SCOPES = set("ul ol dl table body html article section div aside nav main form t
 MARKED = set("nav aside footer header form article main section dialog".split())
 
 _SPACE = re.compile(r"\s+")
+# What a line about the rights in a page says, in any layout.
+_RIGHTS = re.compile(r"©|\(c\)|\bcopyright\b|\ball rights reserved\b", re.IGNORECASE)
 _CUT_TAG = re.compile(r"<[a-zA-Z/!?][^<>]*\Z")
 _CUT_REFERENCE = re.compile(r"&#?\w*\Z")
 
@@ -59,6 +61,7 @@ class Node:
     words: tuple[str, ...]
     length: int = 0
     links: int = 0
+    rights: bool = False
 
 
 @dataclass
@@ -83,7 +86,9 @@ class _Reader(HTMLParser):
         self.pieces = []
         if text:
             self.page.blocks.append((self.open[-1], text))
-            self.page.nodes[self.open[-1]].length += len(text)
+            node = self.page.nodes[self.open[-1]]
+            node.length += len(text)
+            node.rights = node.rights or len(text) < 250 and bool(_RIGHTS.search(text))
 
     def _pop(self) -> None:
         self.counts[self.page.nodes[self.open.pop()].tag] -= 1
@@ -195,7 +200,8 @@ def features(page: Page) -> list[list[str]]:
         out.append([
             "any", f"tag {n.tag}", *(f"word {w}" for w in n.words),
             f"text {sum(size > x for x in (0, 25, 80, 250))}", f"own {sum(n.length > x for x in (0, 25, 80, 250))}",
-            f"links {sum(share > x for x in (0, 0.3, 0.7))}", f"part {sum(size / whole > x for x in (0.1, 0.5, 0.9))}",
+            f"links {sum(share > x for x in (0, 0.3, 0.7, 0.95))}", f"part {sum(size / whole > x for x in (0.1, 0.5, 0.9))}",
+            *(["rights"] if n.rights else []),
         ])
     return out
 
@@ -299,7 +305,7 @@ def fit(pages: list[tuple[str, list[str]]], rounds: int = 120, rate: float = 0.5
     return Model({f: float(weights[i]) for f, i in numbers.items()}, pair)
 
 
-def labelled_pages(count: int = 300, seed: int = 5) -> list[tuple[str, list[str]]]:
+def labelled_pages(count: int = 420, seed: int = 5) -> list[tuple[str, list[str]]]:
     """Pages of common layouts with their content blocks, made of meaningless words."""
     rng = random.Random(seed)
     syllables = [a + b for a in "bdfgklmnprstv" for b in "aeiou"]
@@ -319,7 +325,20 @@ def labelled_pages(count: int = 300, seed: int = 5) -> list[tuple[str, list[str]
         start, end = named(names, tags)
         return start + inner + end
 
+    def plain_links(between: str) -> str:
+        return between.join(f'<a href="/{words(1, 1)}">{words(1, 3)}</a>' for _ in range(rng.randint(2, 7)))
+
+    def rights() -> str:
+        sign = rng.choice(["&copy;", "Copyright", "(c)", "Copyright &copy;"])
+        return f"{sign} {rng.randint(1995, 2030)} {words(1, 5)}" + rng.choice(["", " All rights reserved."])
+
     def noise(kind: str) -> str:
+        if kind == "plain menu":  # nothing but its links tells it
+            tag = rng.choice(["div", "div", "center"])
+            return f"<{tag}>{plain_links(rng.choice([' ', ' | ', '<br>']))}</{tag}>"
+        if kind == "plain foot":
+            tag = rng.choice(["div", "div", "center", "address", "p"])
+            return f"<{tag}>{rights()}</{tag}>"
         if kind == "menu":
             inner = f"<ul>{links(rng.randint(2, 9))}</ul>"
             return f"<nav>{inner}</nav>" if rng.random() < 0.6 else around("menu nav navbar navigation breadcrumb topnav", inner)
@@ -348,14 +367,14 @@ def labelled_pages(count: int = 300, seed: int = 5) -> list[tuple[str, list[str]
         inner = f"&copy; {words(2, 5)}" if rng.random() < 0.5 else f"<p>{words(4, 20)}</p><ul>{links(3)}</ul>"
         return f"<footer>{inner}</footer>" if rng.random() < 0.7 else around("footer site-footer copyright colophon bottom", inner)
 
-    def article() -> tuple[str, list[str]]:
+    def article(headed: float) -> tuple[str, list[str]]:
         parts, blocks = [], []
 
         def block(tag: str, text: str, marked: str | None = None) -> str:
             blocks.append(text)
             return f"<{tag}>{marked or text}</{tag}>"
 
-        if rng.random() < 0.8:
+        if rng.random() < headed:
             parts.append(block("h1", words(2, 9)))
         least = 0 if parts else 1
         for _ in range(rng.randint(least, 9) if rng.random() < 0.7 else rng.randint(least, 2)):
@@ -386,16 +405,29 @@ def labelled_pages(count: int = 300, seed: int = 5) -> list[tuple[str, list[str]
 
     pages = []
     for _ in range(count):
-        inner, blocks = article()
         shell = rng.random()
-        if shell < 0.45:
+        plain = shell >= 0.72  # nothing marks the article: bare, in unnamed elements, or in a cell of a layout table
+        inner, blocks = article(0.35 if plain else 0.8)
+        if shell < 0.32:
             inner = f"<article>{inner}</article>"
-        elif shell < 0.65:
+        elif shell < 0.5:
             inner = f"<main>{inner}</main>"
-        else:
+        elif shell >= 0.94:
+            cell = rng.choice([plain_links("<br>"), plain_links(" "), f"<ul>{links(rng.randint(2, 6))}</ul>"])
+            cells = [f"<td>{cell}</td>", f"<td>{inner}</td>"]
+            inner = f"<table><tr>{''.join(cells if rng.random() < 0.7 else cells[::-1])}</tr></table>"
+        elif shell >= 0.86:
+            tag = rng.choice(["div", "div", "center", "section"])
+            inner = f"<{tag}>{inner}</{tag}>"
+        elif not plain:
             inner = around("content post entry article main-content post-body entry-content article-body story", inner, "div div section")
-        if rng.random() < 0.25:
+        if not plain and rng.random() < 0.25:
             inner = f"<main>{inner}</main>"
+        if plain and rng.random() < 0.7:
+            some = rng.random()
+            page = (noise("plain menu") if some < 0.7 else "") + inner + (noise("plain foot") if some > 0.3 else "")
+            pages.append((f"<html><head><title>{words(1, 5)}</title></head><body>{page}</body></html>", blocks))
+            continue
         kinds = ["menu", "head", "ad", "notice", "side", "form", "share"]
         before = "".join(noise(k) for k in rng.choices(kinds, k=rng.randint(0, 4)))
         after = "".join(noise(k) for k in rng.choices([*kinds[2:], "comments", "comments"], k=rng.randint(0, 4)))

@@ -8,6 +8,7 @@ import textwrap
 from collections import Counter
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -247,6 +248,39 @@ def test_odd_pages(html_model):
     assert html_model.text("<article>" + "<div>" * 3000 + "deep text of some length here" + "</div>" * 10).count("deep") <= 1
 
 
+_LONG = "The quick brown fox jumps over the lazy dog near the river bank again and again today. " * 4
+_LINES = [_LONG.strip(), "A short line between them.", (_LONG + "And so it ends.").strip()]
+
+
+@pytest.mark.parametrize("page, want", [  # layouts that the generator of labelled pages does not make
+    ("<p>{0}</p>", [0]), ("{menu}<p>{0}</p><p>{2}</p><div>Copyright 2020 Somebody</div>", [0, 2]),
+    ("<html><body>{menu}<p>{0}</p><p>{2}</p><div>Copyright</div></body></html>", [0, 2]),
+    ("<html><body><table><tr><td>{menu}</td><td><p>{0}</p><p>{2}</p></td></tr></table></body></html>", [0, 2]),
+    ("<html><body><div><div><p>{0}</p><p>{1}</p><p>{2}</p></div></div></body></html>", [0, 1, 2]),
+    ("<html><body bgcolor=white><hr><p>{0}<p>{2}<hr><address>&copy; 2001 Me</address>", [0, 2]),
+])
+def test_plain_layouts(html_model, page, want):
+    menu = "<div><a href=/>Home</a> <a href=/a>About</a></div>"
+    assert html_model.text(page.format(*_LINES, menu=menu)) == "\n".join(_LINES[i] for i in want)
+
+
+def test_pages_of_the_table_lose_no_article(html_model):
+    """Block by block: what an ``article`` or ``main`` element holds directly is kept, navigation and footers are not."""
+    pages = [p for p in pq.read_table(f"{SF}/pages.parquet").column("html").to_pylist() if p]
+    assert all(html_model.text(p) for p in pages)
+    for html in pages:
+        page, kept = html_extract.read_page(html), html_model.text(html).split("\n")
+        for node, text in page.blocks:
+            above = []
+            while node >= 0:
+                above.append(page.nodes[node].tag)
+                node = page.nodes[node].parent
+            if above[0] in ("p", "h1") and above[1] in ("article", "main"):
+                assert text in kept
+            if {"nav", "footer", "aside", "form"} & set(above):
+                assert text not in kept
+
+
 @pytest.mark.parametrize("html, want", [
     ("<html><head><title>x</title><article><p>Hello there</p></article>", ["Hello there"]),
     ("<head><title>a <b>x</b></title><meta name=a><noscript><p>no</p></noscript><template><p>no</p></template><p>Hi", ["Hi"]),
@@ -278,6 +312,7 @@ def test_extract_keeps_rows(spark):
     df = spark.createDataFrame([(1, None, "u"), (2, "<article><p>Some words of text here.</p></article>", None)], "page_id long, html string, text string")
     got = {r.page_id: r.text for r in html_extract.extract(df, model=html_extract.Model({"any": 1.0}, np.zeros((2, 4)))).collect()}
     assert got == {1: "", 2: "Some words of text here."}
+    assert html_extract.extract(df.limit(0), model=html_extract.Model({}, np.zeros((2, 4)))).count() == 0
 
 
 def test_license_scan(spark):
