@@ -168,45 +168,66 @@ def correlation_matrix(
     return total.select(F.inline(F.when(F.col("a") == F.col("b"), F.array(there)).otherwise(F.array(there, back))))
 
 
-def _spearman(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Pearson correlation of average ranks, taken per pair of columns over its complete rows."""
-    result = df.sparkSession.createDataFrame([(c, c, 1.0) for c in columns], "col_a string, col_b string, corr double")
-    for a, b in combinations(columns, 2):
-        pair = df.select(to_number(df, a).alias("a"), to_number(df, b).alias("b")).dropna()
-        # Work on distinct value pairs with their multiplicity.
-        pair = stage(pair.groupBy("a", "b").agg(F.count(F.lit(1)).alias("copies")), "pair")
-        n = pair.agg(F.sum("copies")).first()[0] or 0
-        ranked = pair
-        for c in ("a", "b"):
-            ranked = attach(ranked, stage(average_ranks(pair, c, "copies"), "ranks"), [c], "pairs")
-        w, ra, rb = F.col("copies"), F.col("a_rank") - (n + 1) / 2, F.col("b_rank") - (n + 1) / 2
-        spread = F.sqrt(F.sum(w * ra * ra)) * F.sqrt(F.sum(w * rb * rb))
-        sides = F.array(*[F.struct(F.lit(p).alias("col_a"), F.lit(q).alias("col_b")) for p, q in ((a, b), (b, a))])
-        corr = ranked.agg(F.try_divide(F.sum(w * ra * rb), spread).alias("corr"))
-        result = result.unionByName(corr.select(F.inline(sides), "corr"))
-    return result
-
-
-def average_ranks(weighted: DataFrame, column: str, weight: str, buckets: int = 512) -> DataFrame:
-    """``(column, <column>_rank, pairs)``: average rank of each distinct value, without a one-task sort.
-
-    Quantile cut points spread the distinct values over ``buckets``; a rank is a running
-    sum inside the bucket plus the total weight of the lower buckets.
+def _spearman(df: DataFrame, columns: Sequence[str], buckets: int = 256) -> DataFrame:
+    """Pearson correlation of average ranks, taken per pair of columns over its complete rows.
+
+    All pairs are one long frame and go through the same few jobs, however many there are. Equal pairs of values
+    travel once with their number. A rank is a running sum within a bucket of values plus the lower buckets;
+    buckets are cut at the quantiles of a column, so no task ranks a whole column.
     """
-    values = stage(
-        weighted.groupBy(column).agg(F.sum(weight).alias("weight"), F.count(F.lit(1)).alias("pairs")), "values"
+    spark, k = df.sparkSession, len(columns)
+    itself = spark.createDataFrame([(c, c, 1.0) for c in columns], "col_a string, col_b string, corr double")
+    if k < 2:
+        return itself
+    rows = df.select(F.array(*[to_number(df, c) for c in columns]).alias("x"))
+    probabilities = [i / buckets for i in range(1, buckets)]
+    found = rows.agg(*[
+        F.percentile_approx(F.get("x", F.lit(i)), probabilities, 10 * buckets).alias(f"c{i}") for i in range(k)
+    ]).first()
+    # A row per column of the schema, of at most ``buckets`` numbers.
+    steps = spark.createDataFrame(
+        [(i, sorted(set(found[f"c{i}"] or []))) for i in range(k)], "of int, steps array<double>"
+    )
+    pairs = rows.select("x", F.explode(F.sequence(F.lit(0), F.lit(k - 2))).alias("a"))
+    pairs = pairs.select("x", "a", F.explode(F.sequence(F.col("a") + 1, F.lit(k - 1))).alias("b"))
+    pairs = pairs.select("a", "b", F.get("x", F.col("a")).alias("u"), F.get("x", F.col("b")).alias("v"))
+    pairs = pairs.where("u IS NOT NULL AND v IS NOT NULL").groupBy("a", "b", "u", "v").agg(F.count(F.lit(1)).alias("copies"))
+    pairs = stage(pairs, "value-pairs")
+
+    sides = F.array(*[
+        F.struct(F.lit(side).alias("side"), F.col(value).alias("value"), F.col(of).alias("of"))
+        for side, value, of in ((0, "u", "a"), (1, "v", "b"))
+    ])
+    values = pairs.select("a", "b", "copies", F.inline(sides)).groupBy("a", "b", "side", "of", "value").agg(
+        F.sum("copies").alias("weight"), F.count("copies").alias("rows")
     )
-    cuts = values.agg(F.percentile_approx(column, [i / buckets for i in range(1, buckets)], 10 * buckets)).first()[0]
-    steps = F.array(*[F.lit(c) for c in sorted(set(cuts or []))]).cast("array<double>")
-    bucketed = values.withColumn("bucket", F.size(F.filter(steps, lambda s: s < F.col(column))))
-    # At most `buckets` rows.
-    sizes = bucketed.groupBy("bucket").agg(F.sum("weight").alias("size")).orderBy("bucket").collect()
-    below, total = [], 0
-    for row in sizes:
-        below.append((row.bucket, total))
-        total += row["size"]
-    offsets = values.sparkSession.createDataFrame(below, "bucket int, below long")
-    upto = Window.partitionBy("bucket").orderBy(column).rowsBetween(Window.unboundedPreceding, 0)
-    ranked = bucketed.join(F.broadcast(offsets), "bucket").withColumn("upto", F.sum("weight").over(upto))
+    values = values.join(F.broadcast(steps), "of").select(
+        "a", "b", "side", "value", "weight", "rows", F.size(F.filter("steps", lambda s: s < F.col("value"))).alias("bucket")
+    )
+    values = stage(values, "pair-values")
+    of_side = ["a", "b", "side"]
+    sizes = values.groupBy(*of_side, "bucket").agg(F.sum("weight").alias("size"), F.count("value").alias("held"))
+    upto = Window.partitionBy(*of_side).orderBy("bucket")  # at most ``buckets`` rows
+    sizes = sizes.withColumn("below", F.sum("size").over(upto.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
+    sizes = stage(sizes, "bucket-sizes")
+    within = Window.partitionBy(*of_side, "bucket").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = attach(values, sizes.drop("size"), [*of_side, "bucket"], "held").withColumn("upto", F.sum("weight").over(within))
     rank = F.col("below") + F.col("upto") - (F.col("weight") - 1) / 2.0
-    return ranked.select(column, rank.alias(f"{column}_rank"), "pairs")
+    ranked = stage(ranked.select(*of_side, "value", rank.alias("rank"), "rows"), "ranks")
+    for side, value, name in ((0, "u", "rank_u"), (1, "v", "rank_v")):
+        of_value = ranked.where(F.col("side") == side).select(
+            "a", "b", F.col("value").alias(value), F.col("rank").alias(name), "rows"
+        )
+        pairs = attach(pairs, of_value, ["a", "b", value], "rows")
+    totals = sizes.where("side = 0").groupBy("a", "b").agg(F.sum("size").alias("n"))  # a row per pair of columns
+    w, middle = F.col("copies"), (F.col("n") + 1) / 2
+    ru, rv = F.col("rank_u") - middle, F.col("rank_v") - middle
+    spread = F.sqrt(F.sum(w * ru * ru)) * F.sqrt(F.sum(w * rv * rv))
+    corr = pairs.join(F.broadcast(totals), ["a", "b"]).groupBy("a", "b").agg(F.try_divide(F.sum(w * ru * rv), spread).alias("corr"))
+    names = F.array(*[F.lit(c) for c in columns])
+    every = spark.createDataFrame([(a, b) for a, b in combinations(range(k), 2)], "a int, b int")
+    both = every.join(corr, ["a", "b"], "left").select(
+        F.get(names, F.col("a")).alias("one"), F.get(names, F.col("b")).alias("other"), "corr"
+    )
+    ways = F.array(*[F.struct(F.col(p).alias("col_a"), F.col(q).alias("col_b")) for p, q in (("one", "other"), ("other", "one"))])
+    return itself.unionByName(both.select(F.inline(ways), "corr"))

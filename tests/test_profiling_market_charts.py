@@ -144,3 +144,26 @@ def test_chart_tables(clean):
     }
     assert tables["price_median"].first().n == clean.count()
     assert all(t.columns for t in tables.values())
+
+
+def test_spearman_of_many_columns_takes_the_same_jobs(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    pdf = pd.DataFrame({f"c{i}": np.round(rng.normal(size=300) * (i + 1) + rng.normal(size=300), i % 3) for i in range(7)})
+    pdf.loc[rng.random(300) < 0.2, "c1"] = np.nan
+    pdf.loc[:99, "c4"] = 7.0  # a third of a column is one value
+    pdf["flat"] = 3.0
+    staged = []
+    real = profiling.stage
+    monkeypatch.setattr(profiling, "stage", lambda df, label: staged.append(label) or real(df, label))
+    seen = []
+    for columns in (["c0", "c1"], list(pdf)):
+        staged.clear()
+        got = profiling.correlation_matrix(spark.createDataFrame(pdf[columns]), columns, "spearman").collect()
+        seen.append(list(staged))
+        want = pdf[columns].corr(method="spearman")
+        found = {(r.col_a, r.col_b): r["corr"] for r in got}
+        assert len(found) == len(columns) ** 2
+        for (a, b), value in found.items():
+            expected = want.loc[a, b]
+            assert value is None if a != b and np.isnan(expected) else value == pytest.approx(1.0 if a == b else expected)
+    assert seen[0] == seen[1]
