@@ -2,8 +2,8 @@
 
 Statistics are taken from the whole text in the tasks.  The trees are grown in numpy on the
 driver from the statistics of a bounded sample of labelled rows (``max_rows``, those with
-the smallest hash of their id), flattened into arrays and applied by moving all rows of a
-batch down one level of all trees at a time.
+the smallest hash of their id), flattened into arrays and applied tree by tree, all rows of a
+batch moving down one level of the tree at a time.
 
 Defined results: null text counts as empty and gets a score; labels of one id are averaged
 and NULL labels and ids are left out; without labels of both kinds the score is the share

@@ -8,8 +8,8 @@ documents.  Cutoffs are tested from the loosest to the tightest and testing stop
 first that fails, so the grid needs no further correction; rules and strata are corrected
 for by Bonferroni.  Of the certified cutoffs the one that separates best is used; a rule
 that separates nothing, or has too few labels to be certified, is off in that stratum.
-All of a stratum's good documents together then lose more than ``alpha`` with probability
-``delta`` at most.
+The good documents of a stratum that pass the base rules together then lose more than ``alpha``
+with probability ``delta`` at most; the base rules come first and carry no such promise.
 
 Shares are compared on a grid of 64ths in whole numbers, so sums are exact and small:
 what reaches one task per stratum is a histogram.
