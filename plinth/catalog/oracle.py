@@ -440,10 +440,8 @@ def statements() -> dict[str, str]:
             SELECT unnest(['cat__location_' || {place('location')}, 'cat__area_type_' || {normal('area_type')},
               'cat__availability_status_' || {status('availability')}, 'num__sqft_per_bhk', 'num__garden_size']) AS slot
             FROM ({DIRTY}) d) s WHERE slot IS NOT NULL"""),
-        "csv_round_trip": f"""WITH d AS ({DIRTY}) SELECT g.column_name, missing_count, row_count, mean, max
-            FROM ({gaps('SELECT * FROM d', list(LISTING_TYPES))}) g LEFT JOIN ({' UNION ALL '.join(
-                f"SELECT '{c}' AS column_name, {r(f'avg({c})')} AS mean, {r(f'max({c})')} AS max FROM d"
-                for c in ('bath', 'balcony', 'price'))}) m ON g.column_name = m.column_name""",
+        "csv_round_trip": f"""SELECT {', '.join(
+            f"{r(c)} AS {c}" if kind == "double" else c for c, kind in LISTING_TYPES.items())} FROM ({DIRTY}) d""",
         "missing_values": f"""SELECT column_name, missing_count, {r('missing_count * 100.0 / row_count')} AS missing_pct,
             column_name IN ('price', 'location') AS critical FROM ({gaps(DIRTY, list(LISTING_TYPES))}) g WHERE missing_count > 0""",
         "duplicate_rows": f"""SELECT total AS row_count, extra AS duplicate_count, {r('extra * 100.0 / total')} AS duplicate_pct
