@@ -11,11 +11,11 @@
    shingles fall into sub-classes by hash, of which each member but the first is a unit,
    and are indexed by pairs within a sub-class.  Similar sets then share an index entry.
 4. Under each entry all sets are verified against the most typical one, the set with the
-   fewest shingles of its own.  Sets of one component need no further check.  An entry with many
-   sets left gets another typical set, as long as that finds links.  What is left then
+   fewest shingles of its own.  Sets of one component need no further check.  What is left
    are pairs across components.  Shingles of its own count against a set with every partner, so
-   sets meet only by steps of their share whose sum still allows a link; what both have in common
-   with the typical set bounds the rest, and the pairs within the bounds are all verified.  So a
+   one of two similar sets is light, with at most half the share of own ones that a pair may have;
+   light sets alone look for partners. What both have in common with the typical set and with any
+   set at all bounds what they share, and the pairs within the bounds are all verified.  So a
    group of n near copies costs about n checks, pages that share a template and no more cost none,
    and no link between components is lost.
 
@@ -49,8 +49,6 @@ RANGE_MEMBERS = 4_000_000  # of one hash range
 HOT_IN_CHUNK = 16  # classes of a chunk from which a shingle travels as a mark
 FREQUENT = 64  # occurrences from which a shingle is indexed by pairs
 HOT = 0xFFFFFFFF
-STEPS = 256  # of a set's share of own members, up to where no set can link with it
-CROWDED = 32  # sets left in an entry, from which it gets another typical set
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _SPARE = np.uint64(8)  # hashes have 56 bits, so that differences of sorted ones fit in 5 bytes
@@ -360,22 +358,6 @@ def _common(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").mapInArrow(run, "a binary, b binary, n_a int, n_b int, common int")
 
 
-def _open_sets(entries: DataFrame, known: DataFrame, centre: DataFrame, tried: DataFrame) -> DataFrame:
-    """``entries`` with ``root`` and ``fresh`` (in no tried centre's component), without the first ``centre``, which is
-    settled with all others, and without sets that no other of their entry can link with, by shares of own members."""
-    placed = entries.join(known, "class", "left").withColumn("root", F.coalesce("root", "class"))
-    left = placed.join(centre.withColumnRenamed("centre", "class"), ["entry", "key", "class"], "left_anti")
-    # Steps of a set and its partner add up to STEPS at most; the least step of an entry decides whether any pair can.
-    first = left.groupBy("entry", "key").agg(
-        F.min("step").alias("least_step"), F.min("root").alias("lo"), F.max("root").alias("hi")
-    ).where("lo != hi").select("entry", "key", "least_step")
-    left = left.join(first, ["entry", "key"]).where(f"step + least_step <= {STEPS}").drop("least_step")
-    reached = tried.join(known, tried.centre == known["class"], "left").select(
-        "entry", "key", F.coalesce("root", "centre").alias("root"), F.lit(True).alias("reached")
-    ).distinct()
-    return left.join(reached, ["entry", "key", "root"], "left").withColumn("fresh", F.col("reached").isNull()).drop("reached")
-
-
 def similar_classes(sets: DataFrame, percent: int) -> DataFrame:
     """(node, root) for all classes linked with another one."""
     similar = f"100L * common >= {percent}L * (n_a + n_b - common)"
@@ -383,9 +365,9 @@ def similar_classes(sets: DataFrame, percent: int) -> DataFrame:
     # Two sets often meet under many entries: the least that is among the first few of both speaks for all.
     few = F.slice(F.array_sort("entries"), 1, 12).alias("few")
     # If x and y link, own_x / (n_x - own_x) + own_y / (n_y - own_y) <= 100 / percent - 1: own members are
-    # in the union but not common, and common members are at most the others of each.
-    step = F.floor(F.col("own").cast("double") * percent * STEPS / ((F.col("n") - F.col("own")) * (100 - percent))).cast("int")
-    entries = sets.select("class", "n", "own", band.alias("band"), step.alias("step"), few, F.explode("entries").alias("entry"))
+    # in the union but not common, and common members are at most the others of each. One of the two is light.
+    light = 2 * percent * F.col("own").cast("double") <= (100 - percent) * (F.col("n") - F.col("own"))
+    entries = sets.select("class", "n", "own", light.alias("light"), band.alias("band"), few, F.explode("entries").alias("entry"))
     entries = entries.withColumn("key", F.explode(F.array("band", F.col("band") + 1)))
     typical = stage(
         entries.groupBy("entry", "key").agg(F.min(F.struct("own", "class", "n")).alias("t"), F.count("*").alias("size"))
@@ -400,49 +382,25 @@ def similar_classes(sets: DataFrame, percent: int) -> DataFrame:
     star = stage(_common(star, sets), "star-pairs")
     links = star.where(similar).select("a", "b")
     roots = components(links)
-    centre = typical.select("entry", "key", F.col("class").alias("centre"))
-    tried = centre
-    open_entries = stage(_open_sets(entries, _known(roots), centre, tried), "open-entries")
-    while True:
-        crowded = open_entries.where("fresh").groupBy("entry", "key").agg(
-            F.count("*").alias("size"), F.min(F.struct("own", "class", "n")).alias("t")
-        ).where(f"size > {CROWDED}")
-        crowded = stage(
-            crowded.select("entry", "key", F.col("t.class").alias("class"), F.col("t.n").alias("n"), F.col("t.own").alias("own")),
-            "crowded",
-        )
-        if crowded.isEmpty():
-            break
-        more = open_entries.alias("x").join(crowded.alias("y"), ["entry", "key"]).where(
-            f"x.class != y.class AND x.fresh AND {_may_link(_SHARED_AT_MOST, percent)}"
-        ).select(*ends).distinct().join(star.select("a", "b"), ["a", "b"], "left_anti")
-        more = stage(_common(more, sets), "star-pairs")
-        found = more.where(similar).select("a", "b")
-        star = star.unionAll(more)
-        if found.isEmpty():
-            break
-        links = links.unionAll(found)
-        roots = components(links)
-        # A later centre has not met the sets that another one reached, so it stays open.
-        tried = tried.unionAll(crowded.select("entry", "key", F.col("class").alias("centre")))
-        open_entries = stage(_open_sets(entries, _known(roots), centre, tried), "open-entries")
 
+    known = roots.select(F.col("node").alias("class"), "root")
+    placed = entries.join(known, "class", "left").withColumn("root", F.coalesce("root", "class"))
+    mixed = placed.groupBy("entry", "key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi")
+    centre = typical.select("entry", "key", F.col("class").alias("centre"))
     checked = star.select("a", "b", "common")
-    # What each has in common with the first typical set of its entry, which is settled with all others.
-    compared = open_entries.join(centre, ["entry", "key"], "left").where("class != centre").withColumns(
-        {"a": F.least("class", "centre"), "b": F.greatest("class", "centre")}
-    ).join(checked, ["a", "b"], "left").select("entry", "key", "class", "n", "own", "band", "step", "root", "common", "few")
-    compared = stage(compared, "compared-entries")
-    steps = compared.groupBy("entry", "key").agg(F.collect_set("step").alias("steps"))  # STEPS + 1 numbers at most
-    asking = compared.join(steps, ["entry", "key"]).withColumn(
-        "_step", F.explode(F.filter("steps", lambda other: other + F.col("step") <= STEPS))
-    ).drop("steps")
-    partner = compared.withColumn("_step", F.col("step"))
-    across = asking.alias("x").join(partner.alias("y"), ["entry", "key", "_step"]).where(
-        f"x.class < y.class AND x.root != y.root AND key = greatest(x.band, y.band)"
+    # The typical set itself is settled with all others of its entry.
+    open_entries = placed.join(mixed.select("entry", "key"), ["entry", "key"]).join(centre, ["entry", "key"]).where(
+        "class != centre"
+    ).withColumns({"a": F.least("class", "centre"), "b": F.greatest("class", "centre")})
+    open_entries = open_entries.join(checked, ["a", "b"], "left").select(
+        "entry", "key", "class", "n", "own", "light", "band", "root", "common", "few"
+    )
+    open_entries = stage(open_entries, "open-entries")
+    across = open_entries.where("light").alias("x").join(open_entries.alias("y"), ["entry", "key"]).where(
+        f"(NOT y.light OR x.class < y.class) AND x.root != y.root AND key = greatest(x.band, y.band)"
         f" AND {_may_link(_SHARED_AT_MOST, percent)} AND {_may_link(_BESIDE_TYPICAL, percent)}"
         f" AND entry = coalesce(array_min(array_intersect(x.few, y.few)), entry)"
-    ).select(F.col("x.class").alias("a"), F.col("y.class").alias("b")).distinct()
+    ).select(*ends).distinct()
     across = across.join(checked, ["a", "b"], "left_anti")
     late = stage(_common(across, sets).where(similar).select("a", "b"), "late-links")
     if late.limit(1).count() == 0:
