@@ -5,7 +5,7 @@ right for every size:
 
 * an aggregate of few bytes (its rows counted, their width from the schema and the texts in it): broadcast it, rows never move;
 * beyond: the keys above a thousandth of all rows are at most a thousand, so they
-  are always broadcast; only the remaining, provably small keys are shuffled.
+  are always broadcast; only the remaining, provably small keys are shuffled, to as many tasks as their rows ask for.
 """
 
 from __future__ import annotations
@@ -20,6 +20,8 @@ from pyspark.sql import types as T
 BROADCAST_BYTES = 32 << 20
 # A key is hot when it holds more than 1/HOT_SHARE of all rows; at most HOT_SHARE keys can.
 HOT_SHARE = 1000
+# Rows of cold keys a task gets, whatever the session's number of shuffle partitions.
+COLD_ROWS = 500_000
 
 
 def _row_bytes(df: DataFrame) -> Column:
@@ -45,6 +47,7 @@ def attach(
     weight: str,
     how: str = "inner",
     broadcast_bytes: int = BROADCAST_BYTES,
+    cold_rows: int = COLD_ROWS,
 ) -> DataFrame:
     """Join ``per_key`` (one row per key, ``weight`` = rows of that key) onto ``rows``.
 
@@ -63,9 +66,11 @@ def attach(
     unkeyed = F.lit(False)
     for key in keys:
         unkeyed = unkeyed | F.col(key).isNull()
-    hot_rows = rows.join(F.broadcast(hot), keys, "inner")
-    cold_rows = rows.filter(~unkeyed).join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys, how)
-    joined = hot_rows.unionByName(cold_rows)
+    # Adaptive coalescing packs 64 MB of compressed rows into a task; a given number of partitions stays.
+    tasks = max(rows.sparkSession.sparkContext.defaultParallelism, -(-int(size.total) // cold_rows))
+    remaining = rows.filter(~unkeyed).join(F.broadcast(hot.select(*keys)), keys, "left_anti")
+    shuffled = remaining.repartition(tasks, *keys).join(cold.repartition(tasks, *keys), keys, how)
+    joined = rows.join(F.broadcast(hot), keys, "inner").unionByName(shuffled)
     if how == "left":
         # NULL keys match nothing and would all meet in one shuffle partition.
         joined = joined.unionByName(rows.filter(unkeyed), allowMissingColumns=True)

@@ -115,3 +115,14 @@ def test_attach_inner_and_left(spark, limit):
     left = attach(rows, sizes, ["k"], "n", how="left", broadcast_bytes=limit)
     assert left.count() == 1007 and left.select("i").distinct().count() == 1007
     assert left.filter("label IS NULL").count() == 9
+
+
+def test_cold_keys_get_as_many_tasks_as_their_rows_ask_for(spark):
+    rows = spark.range(8000).select((F.col("id") % 2000).alias("k"), "id")
+    sizes = stage(rows.groupBy("k").agg(F.count("id").alias("rows"), F.min("id").alias("first")), "sizes")
+    joined = attach(rows, sizes, ["k"], "rows", broadcast_bytes=0, cold_rows=200)
+    found = joined.groupBy(F.spark_partition_id().alias("task")).agg(
+        F.count("id").alias("n"), F.count_if(F.col("first") == F.col("k")).alias("right")
+    ).collect()
+    assert sum(r.n for r in found) == sum(r.right for r in found) == 8000
+    assert len(found) > 30 and max(r.n for r in found) < 600
