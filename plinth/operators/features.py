@@ -8,12 +8,14 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterable, Sequence
+from math import isfinite
 
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel, Transformer
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
+from pyspark.ml.stat import Summarizer
 from pyspark.ml.util import (
     DefaultParamsReadable,
     DefaultParamsReader,
@@ -352,7 +354,17 @@ def separate_target(df: DataFrame, target: str | None = None, strategy: str = "l
 
 
 def check_finite(df: DataFrame, column: str = FEATURES) -> None:
-    """Raise if a feature vector holds NaN or an infinity."""
+    """Raise if a feature vector holds NaN or an infinity.
+
+    The sum of the magnitudes in a slot is finite only if every one is, and takes the stored values of a sparse vector
+    alone. Vectors are spread out to all their slots only if a sum is not: finite values can add up to infinity.
+    """
+    df = df.filter(F.col(column).isNotNull())
+    if df.isEmpty():
+        return
+    sums = df.agg(Summarizer.normL1(F.col(column)).alias("sums")).first().sums
+    if all(map(isfinite, sums.toArray())):
+        return
     bad = F.exists(vector_to_array(column), lambda x: F.isnan(x) | (F.abs(x) == float("inf")))
     if not df.filter(bad).isEmpty():
         raise ValueError("feature vectors contain NaN or infinite values")

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.ml import PipelineModel
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from plinth.operators import features
@@ -135,3 +136,21 @@ def test_model_ready_bundle(spark):
     assert bundle["test"].filter("abs(expm1(label) - actual) > 1e-9").count() == 0
     with pytest.raises(ValueError, match="target column"):
         features.model_ready(df.drop("price"), ["id"])
+
+
+def test_finite_check_reads_stored_values_only(spark, monkeypatch):
+    wide = 1 << 22
+
+    def vectors(*values):
+        return spark.createDataFrame([(Vectors.sparse(wide, [1, wide - 1], [v, 1.0]),) for v in values], ["features"])
+
+    dense = []
+    plain = features.vector_to_array
+    monkeypatch.setattr(features, "vector_to_array", lambda column: dense.append(column) or plain(column))
+    features.check_finite(vectors(1.0, -2.0, 0.0))
+    features.check_finite(vectors(1.0).limit(0))
+    assert not dense
+    features.check_finite(spark.createDataFrame([(Vectors.dense(1.5e308, 1.0),)] * 2, ["features"]))
+    for bad in (float("nan"), float("inf"), float("-inf")):
+        with pytest.raises(ValueError, match="NaN or infinite"):
+            features.check_finite(spark.createDataFrame([(Vectors.dense(1.0, 2.0),), (Vectors.sparse(2, [1], [bad]),)], ["features"]))
