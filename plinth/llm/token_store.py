@@ -29,13 +29,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plinth.llm.shared import bounded_batches, texts_of
+from plinth.llm.shared import bounded_batches
 from plinth.llm.tokenizing import encoder
 from plinth.staging import stage
 
 SCALE_BITS = 20
 LOW = np.uint64(1 << 31)
 STORE_PIECES = 1_200_000  # of the piece table: nothing else fills the worker's memory here
+ENCODE_ROWS, ENCODE_BYTES = 5000, 16 << 20
 LANES, CHECKPOINT_STEPS, BLOCK_IDS = 1024, 256, 1 << 19
 _MASK, _WORD, _SCALE = np.uint64((1 << SCALE_BITS) - 1), np.uint64(32), np.uint64(SCALE_BITS)
 
@@ -107,16 +108,27 @@ class Model:
         return np.concatenate(out) if out else np.zeros(0, np.uint32)
 
 
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of some ``ENCODE_ROWS`` rows or ``ENCODE_BYTES``, in which pieces repeat more often."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= ENCODE_ROWS or sum(b.nbytes for b in held) >= ENCODE_BYTES:
+            yield pa.concat_batches(held)
+            held = []
+    if held:
+        yield pa.concat_batches(held)
+
+
 def _token_ids(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, end_id: int) -> DataFrame:
     bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer, STORE_PIECES)
-        end = np.array([end_id], encode.dtype).tobytes()
-        for batch in batches:
-            ids = [encode.encode(text) + end for text in texts_of(batch, "text")]
+        for batch in _gathered(batches):
+            ids = encode.encode_all(batch.column("text"), end_id)
             yield pa.record_batch({
-                "doc_id": batch.column("doc_id"), "ids": pa.array(ids, pa.binary()),
+                "doc_id": batch.column("doc_id"), "ids": ids,
                 "width": pa.array([encode.dtype.itemsize] * len(ids), pa.int32()),
             })
 

@@ -12,6 +12,8 @@ from collections.abc import Callable
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
 CACHE_PIECES = 400_000  # some 200 bytes each in a Python worker
@@ -103,6 +105,24 @@ class PieceEncoder:
             out.append(bare[pieces[0]] + b"".join(map(spaced, pieces[1:])))
         return self.line_end.join(out)
 
+    def encode_all(self, texts: pa.Array, end_id: int) -> pa.Array:
+        """The ids of every text, null as empty, each followed by ``end_id``; a piece is looked up once a batch."""
+        end = np.array([end_id], self.dtype)
+        if not self.lower:
+            return pa.array([self.encode(t or "") + end.tobytes() for t in texts.to_pylist()], pa.binary())
+        pieces = pc.split_pattern(pc.replace_substring(texts.fill_null(""), "\n", " "), " ")
+        known = pieces.flatten().dictionary_encode()
+        blobs = [self.spaced[p] for p in known.dictionary.to_pylist()]
+        size = np.array([len(b) for b in blobs], np.int64) // self.dtype.itemsize
+        first, place = np.cumsum(size) - size, known.indices.to_numpy()
+        upto = np.concatenate([[0], np.cumsum(size[place])])
+        source = np.arange(upto[-1]) + np.repeat(first[place] - upto[:-1], size[place])
+        bounds = pieces.offsets.to_numpy()
+        ends = upto[bounds - bounds[0]]
+        flat = np.insert(np.frombuffer(b"".join(blobs), self.dtype)[source], ends[1:], end)
+        offsets = ((ends + np.arange(len(ends))) * self.dtype.itemsize).astype(np.int32)
+        return pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(offsets), pa.py_buffer(flat)])
+
 
 _ENCODERS: dict[str, PieceEncoder] = {}
 

@@ -8,11 +8,15 @@ import textwrap
 from collections import Counter
 
 import numpy as np
+import public_tokenizers
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from plinth.llm import html_extract, jaccard_join, language_id, license_scan, quality_model, quality_rules, queries
+from plinth.llm import (
+    html_extract, jaccard_join, language_id, license_scan, quality_model, quality_rules, queries, token_store, tokenizing,
+)
 from plinth.llm.components import components
 
 SF = "/root/testdata/sf0.01"
@@ -458,3 +462,17 @@ def test_template_pages_are_not_compared_in_pairs(spark, monkeypatch):
     df = spark.createDataFrame(template_pages(1500, 30), "doc_id long, text string").repartition(4)
     assert jaccard_join.near_duplicates(df).where("component_id != doc_id").count() == 0
     assert asked[0] <= 1500 and sum(asked[1:]) == 0
+
+
+def test_token_pieces_are_looked_up_once_a_batch():
+    texts = ["a b  a\n\nb a", None, "", " \n", "Zoë's\tx y. Q a", '#$% "é" 12 foo!!bar\r\nx', "日本 語\n<s> [UNK]", "Q " * 50]
+    batch = pa.array(texts)
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        encode = tokenizing.PieceEncoder(public_tokenizers.path(name))
+        end = (1).to_bytes(encode.dtype.itemsize, "little")
+        whole = encode.encode_all(batch, 1)
+        assert whole.to_pylist() == [encode._whole(t or "") + end for t in texts]
+        assert encode.encode_all(batch.slice(3, 4), 1).to_pylist() == whole.to_pylist()[3:7]
+        assert encode.encode_all(batch.slice(0, 0), 1).to_pylist() == []
+    gathered = list(token_store._gathered(pa.record_batch({"n": [i] * 2}) for i in range(6000)))
+    assert [b.num_rows for b in gathered] == [5000, 5000, 2000]
