@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plinth.llm.shared import bounded_batches, texts_of
-from plinth.llm.tokenizing import encoder
+from plinth.llm.tokenizing import CACHE_PIECES, encoder
 from plinth.staging import stage
 
 Pattern = tuple[int, tuple[int, ...]]  # how many packs, lengths in each
@@ -79,14 +79,14 @@ def placements(patterns: list[Pattern]) -> dict[int, tuple[list[int], list[tuple
 
 def token_pieces(
     docs: DataFrame, tokenizer: str, max_tokens: int, id_col: str = "doc_id", text_col: str = "text",
-    end_id: int = 1, with_ids: bool = False,
+    end_id: int = 1, with_ids: bool = False, cache_pieces: int = CACHE_PIECES,
 ) -> DataFrame:
     """One row for each piece, staged: its place in its document, the task that cut it and its rank there."""
     bounded_batches(docs.sparkSession)
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer)
+        encode = encoder(tokenizer, cache_pieces)
         end = np.array([end_id], encode.dtype).tobytes()
         part, seen = TaskContext.get().partitionId(), [0] * (max_tokens + 1)
         for batch in batches:
@@ -120,10 +120,10 @@ def token_pieces(
 
 def pack(
     docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", max_tokens: int = 2048, id_col: str = "doc_id",
-    text_col: str = "text", end_id: int = 1, with_ids: bool = False,
+    text_col: str = "text", end_id: int = 1, with_ids: bool = False, cache_pieces: int = CACHE_PIECES,
 ) -> DataFrame:
     """The place of every piece: sequence and offset, gapless from 0; ``ids`` on demand."""
-    pieces = token_pieces(docs, tokenizer, max_tokens, id_col, text_col, end_id, with_ids)
+    pieces = token_pieces(docs, tokenizer, max_tokens, id_col, text_col, end_id, with_ids, cache_pieces)
     counts = pieces.groupBy("_part", "length").agg(F.count("*").alias("_n"))
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("_n").alias("n")).collect()}
     table = placements(shortest_pack_first(histogram, max_tokens))

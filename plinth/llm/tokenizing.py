@@ -124,12 +124,13 @@ class PieceEncoder:
         return pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(offsets), pa.py_buffer(flat)])
 
 
-_ENCODERS: dict[str, PieceEncoder] = {}
+_ENCODERS: dict[tuple[str, int], PieceEncoder] = {}
 
 
 def encoder(name_or_path: str, cache_pieces: int = CACHE_PIECES) -> PieceEncoder:
-    """The encoder of a vocabulary file, made once in each Python worker."""
-    if name_or_path not in _ENCODERS:
+    """The encoder of a vocabulary file and table size, made once in each Python worker."""
+    known = (name_or_path, cache_pieces)
+    if known not in _ENCODERS:
         path = name_or_path if "/" in name_or_path else public_tokenizers.path(name_or_path)
-        _ENCODERS[name_or_path] = PieceEncoder(path, cache_pieces)
-    return _ENCODERS[name_or_path]
+        _ENCODERS[known] = PieceEncoder(path, cache_pieces)
+    return _ENCODERS[known]

@@ -476,3 +476,10 @@ def test_token_pieces_are_looked_up_once_a_batch():
         assert encode.encode_all(batch.slice(0, 0), 1).to_pylist() == []
     gathered = list(token_store._gathered(pa.record_batch({"n": [i] * 2}) for i in range(6000)))
     assert [b.num_rows for b in gathered] == [5000, 5000, 2000]
+
+
+def test_a_small_piece_table_is_an_encoder_of_its_own():
+    small, large = (tokenizing.encoder("byte_bpe_50k.json", size) for size in (8, 4000))
+    assert small is not large and small.spaced.half == 4
+    text = "ab cd ef gh ij kl mn op ab cd\nef gh"
+    assert small.encode(text) == large.encode(text)
