@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plinth.staging import stage
+from plinth.staging import stage_alone
 
 
 def _roots(parents: DataFrame) -> DataFrame:
     """Follow (node, root) pointers to their ends; each pass doubles the distance."""
     while True:
         up = parents.select(F.col("node").alias("root"), F.col("root").alias("_next"))
-        jumped = stage(
+        jumped = stage_alone(
             parents.join(up, "root", "left").select(
                 "node", F.coalesce("_next", "root").alias("root"), (F.col("_next") != F.col("root")).alias("_moved")
             ),
@@ -30,7 +30,7 @@ def components(links: DataFrame) -> DataFrame:
     the links to the roots; the number of nodes halves at least.
     """
     whole = None
-    left = stage(links.select("a", "b").where("a != b").distinct(), "links")
+    left = stage_alone(links.select("a", "b").where("a != b").distinct(), "links")
     while left.limit(1).count():
         both = left.unionAll(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root"))
@@ -39,12 +39,12 @@ def components(links: DataFrame) -> DataFrame:
             whole = roots
         else:
             onward = roots.select(F.col("node").alias("root"), F.col("root").alias("_next"))
-            whole = stage(
+            whole = stage_alone(
                 whole.join(onward, "root", "left").select("node", F.coalesce("_next", "root").alias("root")), "roots"
             )
         a = roots.select(F.col("node").alias("a"), F.col("root").alias("_a"))
         b = roots.select(F.col("node").alias("b"), F.col("root").alias("_b"))
-        left = stage(
+        left = stage_alone(
             left.join(a, "a").join(b, "b").where("_a != _b").select(
                 F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")
             ).distinct(),

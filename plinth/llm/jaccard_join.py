@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from plinth.llm.components import components
 from plinth.llm.shared import bounded_batches, texts_of
 from plinth.operators.attach import attach
-from plinth.staging import stage
+from plinth.staging import stage_alone
 
 CHUNK_MEMBERS, CHUNK_DOCS = 1_500_000, 50_000  # of one task's counting chunk
 RANGE_MEMBERS = 4_000_000  # of one hash range
@@ -293,7 +293,7 @@ def _counted(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFra
     rows = runs.repartition(ranges, "range").groupBy("range").applyInArrow(
         add_up, f"doc_id {id_type}, class binary, n int, owner long, member long, count long"
     )
-    return stage(rows, "shingles")
+    return stage_alone(rows, "shingles")
 
 
 def _indexed(counted: DataFrame, percent: int) -> DataFrame:
@@ -325,7 +325,7 @@ def _indexed(counted: DataFrame, percent: int) -> DataFrame:
             yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds)], names)
 
     schema = "class binary, n int, own int, members binary, entries array<long>"
-    return stage(sets.mapInArrow(run, schema), "sets")
+    return stage_alone(sets.mapInArrow(run, schema), "sets")
 
 
 def _may_link(common: str, percent: int) -> str:
@@ -369,7 +369,7 @@ def similar_classes(sets: DataFrame, percent: int) -> DataFrame:
     light = 2 * percent * F.col("own").cast("double") <= (100 - percent) * (F.col("n") - F.col("own"))
     entries = sets.select("class", "n", "own", light.alias("light"), band.alias("band"), few, F.explode("entries").alias("entry"))
     entries = entries.withColumn("key", F.explode(F.array("band", F.col("band") + 1)))
-    typical = stage(
+    typical = stage_alone(
         entries.groupBy("entry", "key").agg(F.min(F.struct("own", "class", "n")).alias("t"), F.count("*").alias("size"))
         .where("size > 1")
         .select("entry", "key", F.col("t.class").alias("class"), F.col("t.n").alias("n"), F.col("t.own").alias("own")),
@@ -379,7 +379,7 @@ def similar_classes(sets: DataFrame, percent: int) -> DataFrame:
     star = entries.alias("x").join(typical.alias("y"), ["entry", "key"]).where(
         f"x.class != y.class AND {_may_link(_SHARED_AT_MOST, percent)}"
     ).select(*ends).distinct()
-    star = stage(_common(star, sets), "star-pairs")
+    star = stage_alone(_common(star, sets), "star-pairs")
     links = star.where(similar).select("a", "b")
     roots = components(links)
 
@@ -395,14 +395,14 @@ def similar_classes(sets: DataFrame, percent: int) -> DataFrame:
     open_entries = open_entries.join(checked, ["a", "b"], "left").select(
         "entry", "key", "class", "n", "own", "light", "band", "root", "common", "few"
     )
-    open_entries = stage(open_entries, "open-entries")
+    open_entries = stage_alone(open_entries, "open-entries")
     across = open_entries.where("light").alias("x").join(open_entries.alias("y"), ["entry", "key"]).where(
         f"(NOT y.light OR x.class < y.class) AND x.root != y.root AND key = greatest(x.band, y.band)"
         f" AND {_may_link(_SHARED_AT_MOST, percent)} AND {_may_link(_BESIDE_TYPICAL, percent)}"
         f" AND entry = coalesce(array_min(array_intersect(x.few, y.few)), entry)"
     ).select(*ends).distinct()
     across = across.join(checked, ["a", "b"], "left_anti")
-    late = stage(_common(across, sets).where(similar).select("a", "b"), "late-links")
+    late = stage_alone(_common(across, sets).where(similar).select("a", "b"), "late-links")
     if late.limit(1).count() == 0:
         return roots
     return components(links.unionAll(late))
@@ -424,8 +424,8 @@ def near_duplicates(
     copies = members.where("class IS NOT NULL").groupBy("class").agg(F.count("n").alias("rows"), F.min("doc_id").alias("least"))
     classes = copies.join(_known(roots), "class", "left").withColumn("root", F.coalesce("root", "class"))
     components_of = classes.groupBy("root").agg(F.min("least").alias("component_id"), F.count("class").alias("classes"))
-    classes = attach(stage(classes, "classes"), stage(components_of, "components"), ["root"], "classes")
-    placed = attach(members, stage(classes.select("class", "rows", "component_id"), "placed"), ["class"], "rows", how="left")
+    classes = attach(stage_alone(classes, "classes"), stage_alone(components_of, "components"), ["root"], "classes")
+    placed = attach(members, stage_alone(classes.select("class", "rows", "component_id"), "placed"), ["class"], "rows", how="left")
     return placed.select(
         F.col("doc_id").alias(id_col), F.col("n").cast("long").alias("n_shingles"),
         F.coalesce("component_id", "doc_id").alias("component_id"),

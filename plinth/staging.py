@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame, SparkSession
 T = TypeVar("T")
 
 _CHECKPOINT_KEY = "spark.checkpoint.dir"
+# Shuffle files of a query otherwise stay until the driver's garbage collector meets the frame.
+_FREE_SHUFFLES_KEY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 # Settings a job of ours relies on; every one can be overridden by the submitter.
 SESSION_DEFAULTS = {
@@ -72,6 +74,23 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stage_alone(df: DataFrame, label: str) -> DataFrame:
+    """``stage``, and the shuffle files of the write are deleted as soon as it is done.
+
+    That is a setting of the session meanwhile, so this is not for frames staged side by side.
+    """
+    conf = df.sparkSession.conf
+    before = conf.get(_FREE_SHUFFLES_KEY, None)
+    conf.set(_FREE_SHUFFLES_KEY, "true")
+    try:
+        return stage(df, label)
+    finally:
+        if before is None:
+            conf.unset(_FREE_SHUFFLES_KEY)
+        else:
+            conf.set(_FREE_SHUFFLES_KEY, before)
+
+
 def at_once(calls: Sequence[Callable[[], T]], most: int = 8) -> list[T]:
     """Results of independent calls that run jobs, started together; the scheduler shares the cores among their jobs."""
     if not calls:

@@ -5,6 +5,7 @@ import os
 import random
 import re
 import textwrap
+import time
 from collections import Counter
 
 import numpy as np
@@ -81,6 +82,23 @@ def test_near_duplicates_against_brute_force(spark):
     assert jaccard_join.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_near_duplicates_leave_no_shuffle_files(spark, sf):
+    def shuffled() -> dict:
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n")
+        found = [f for f in files.split("\n") if os.path.basename(f).startswith("shuffle_") and f.endswith(".data")]
+        return {f: os.path.getsize(f) for f in found if os.path.exists(f)}
+
+    before = shuffled()
+    jaccard_join.near_duplicates(spark.read.parquet(f"{sf}/documents.parquet"))
+    deadline = time.time() + 20
+    while True:  # files are deleted in the background
+        left = sum(size for f, size in shuffled().items() if f not in before)
+        if left < 100_000 or time.time() > deadline:
+            break
+        time.sleep(0.2)
+    assert left < 100_000, left
+
+
 def test_near_duplicates_of_the_documents(spark, sf):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
     got = queries.op6_ngram_jaccard(spark, sf).collect()
