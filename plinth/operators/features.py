@@ -98,8 +98,10 @@ class CategoryFolder(Estimator, _Columns, DefaultParamsReadable, DefaultParamsWr
         self._copyValues(model)
         for column in self.getOrDefault("inputCols"):
             if column in df.columns:
-                named = df.select(normalize_text(F.col(column)).alias(column)).dropna()
-                counts = category_counts(named, column).filter(F.col("category_rows") >= self.getOrDefault("minCount"))
+                # Each spelling is normalised once, not once a row.
+                spellings = category_counts(df.select(column), column).withColumn(column, normalize_text(F.col(column)))
+                counts = spellings.dropna().groupBy(column).agg(F.sum("category_rows").alias("category_rows"))
+                counts = counts.filter(F.col("category_rows") >= self.getOrDefault("minCount"))
                 model.tables[column] = stage(counts, "categories")
         return model
 
@@ -226,7 +228,7 @@ class MedianImputer(Estimator, _Columns, DefaultParamsReadable, DefaultParamsWri
     def _fit(self, df: DataFrame) -> MedianImputerModel:
         columns = self.getOrDefault("inputCols")
         check_no_leakage(columns)
-        medians = {r.column_name: r.q[0] for r in quantiles(df, columns, [0.5]).collect()}
+        medians = {r.column_name: r.q[0] for r in quantiles(df, columns, [0.5], wide=True).collect()}
         model = self._copyValues(MedianImputerModel())
         return model._set(stats=json.dumps({c: medians.get(c, 0.0) for c in columns}))
 
@@ -260,7 +262,7 @@ class NumericScaler(Estimator, _Columns, DefaultParamsReadable, DefaultParamsWri
         tiny = 10 * 2.0**-52
         stats = {}
         if kind == "robust":
-            for r in quantiles(df, columns, [0.25, 0.5, 0.75]).collect():
+            for r in quantiles(df, columns, [0.25, 0.5, 0.75], wide=True).collect():
                 spread = r.q[2] - r.q[0]
                 stats[r.column_name] = [r.q[1], spread if spread > tiny else 1.0]
         elif kind == "standard":
@@ -286,6 +288,26 @@ class NumericScalerModel(_Fitted):
         })
 
 
+class FeaturePipeline(Pipeline):
+    """A pipeline whose later fits read the folded and engineered rows staged, instead of making them again for every scan."""
+
+    def _fit(self, df: DataFrame) -> PipelineModel:
+        _require_frame(df)
+        stages, fitted = self.getStages(), []
+        for i, step in enumerate(stages):
+            if isinstance(step, StringIndexer):
+                # Labels in the order of the alphabet depend on the categories alone, not on their rows.
+                model = step.fit(df.select(*step.getInputCols()).distinct())
+            else:
+                model = step.fit(df) if isinstance(step, Estimator) else step
+            fitted.append(model)
+            df = model.transform(df)
+            if isinstance(step, ListingFeatures):
+                read = dict.fromkeys(c for later in stages[i + 1 :] for c in later.getOrDefault("inputCols"))
+                df = stage(df.select(*[c for c in read if c in df.columns]), "engineered")
+        return PipelineModel(fitted)
+
+
 def build_feature_pipeline(
     scaler: str = "robust",
     numeric: Sequence[str] = (*RAW_NUMERIC, *ENGINEERED),
@@ -302,7 +324,7 @@ def build_feature_pipeline(
     filled = [f"imputed {c}" for c in categorical]
     index = [f"index {c}" for c in categorical]
     hot = [f"hot {c}" for c in categorical]
-    return Pipeline(stages=[
+    return FeaturePipeline(stages=[
         CategoryFolder(inputCols=list(fold)),
         ListingFeatures(),
         MedianImputer(inputCols=list(numeric)),

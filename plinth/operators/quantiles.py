@@ -59,23 +59,31 @@ def quantiles(
     accuracy: int = ACCURACY,
     sort_rows: int = SORT_ROWS,
     broadcast_bytes: int = BROADCAST_BYTES,
+    wide: bool = False,
 ) -> DataFrame:
     """Linear-interpolated quantiles per group and column, missing values ignored.
 
     Returns ``(*by, column_name, n, q, *extra)`` with ``q`` aligned to ``probs`` (ascending).
     ``extra`` holds further numbers aggregated over ``value`` and the ``carry`` columns; they
     ride along in the first scan.  Rows with a NULL group key are left out.  ``df`` is
-    scanned twice, so stage it first if it is expensive.
+    scanned twice, so stage it first if it is expensive.  ``wide``, for frames that are cheap to
+    scan, takes three scans, of which only values inside a bracket become rows of their own.
     """
+    if wide and (by or extra or carry):
+        raise ValueError("wide quantiles take neither groups nor further numbers")
     probs = sorted(probs)
     extra = dict(extra or {})
     keys = [*by, "column_name"]
     long = long_values(df, columns, by, carry)
-    sketch = long.groupBy(*keys).agg(
-        F.count("value").alias("n"),
-        F.percentile_approx("value", _around(probs, 2 / accuracy) + _around(probs, WIDE), accuracy).alias("ends"),
-        *[c.alias(name) for name, c in extra.items()],
-    )
+    around = _around(probs, 2 / accuracy) + _around(probs, WIDE)
+    if wide:
+        sketch = _wide_sketch(df, columns, around, accuracy)
+    else:
+        sketch = long.groupBy(*keys).agg(
+            F.count("value").alias("n"),
+            F.percentile_approx("value", around, accuracy).alias("ends"),
+            *[c.alias(name) for name, c in extra.items()],
+        )
     sketch = sketch.withColumn("ends", _bracket_ends(len(probs), accuracy))
     slim = long.select(*keys, "value")
     # So many rows leave at most ``sort_rows`` in the brackets of a group, by the error bound of the sketch.
@@ -110,7 +118,11 @@ def quantiles(
         return stage(_pick_ranks(rows.withColumns({"n": told("n"), "ends": ends}), keys, probs, refine, sort_rows), "ranks")
 
     large = max((r.n for r in known.values()), default=0)
-    found = ranks_of(slim, told("ends"), large > harmless)
+    if wide and known:
+        counted = _wide_counts(df, known, len(probs))
+        found = stage(_ranks(counted, keys, probs, large > harmless, sort_rows), "ranks")
+    else:
+        found = ranks_of(slim, told("ends"), large > harmless)
     lost = [r.column_name for r in found.filter(_lost(probs)).collect()]
     if lost:
         wide = ranks_of(slim.filter(F.col("column_name").isin(lost)), _everything(len(probs)), True)
@@ -156,6 +168,59 @@ def _lost(probs: Sequence[float]) -> Column:
     return out
 
 
+def _wide_sketch(df: DataFrame, columns: Sequence[str], around: list[float], accuracy: int) -> DataFrame:
+    """(column_name, n, ends) of the columns with any value, by one aggregate without groups."""
+    numbers = df.select(*[to_number(df, c).alias(f"v{i}") for i, c in enumerate(columns)])
+    one = numbers.agg(*[
+        f.alias(f"{name}{i}") for i in range(len(columns)) for name, f in (
+            ("n", F.count(f"v{i}")), ("ends", F.percentile_approx(f"v{i}", around, accuracy))
+        )
+    ])
+    each = F.array(*[
+        F.struct(F.lit(c).alias("column_name"), F.col(f"n{i}").alias("n"), F.col(f"ends{i}").alias("ends"))
+        for i, c in enumerate(columns)
+    ])
+    return one.select(F.inline(each)).filter("n > 0")
+
+
+def _wide_counts(df: DataFrame, known: Mapping, n_probs: int) -> DataFrame:
+    """(column_name, n, spot, copies) as ``_pick_ranks`` counts them; what lies in a gap is counted column by column."""
+    numbers = df.select(*[to_number(df, c).alias(f"v{i}") for i, c in enumerate(known)])
+    ends = [r.ends for r in known.values()]
+    inside, bounds = [], []
+    for i in range(len(known)):
+        value = F.col(f"v{i}")
+        lows, highs = ends[i][::2], ends[i][1::2]
+        within = F.lit(False)
+        for low, high in zip(lows, highs):
+            within = within | value.between(low, high)
+        inside.append(F.struct(F.lit(i).alias("number"), F.when(within, value).alias("value")))
+        bounds += [F.count(F.when(value < low, 1)).alias(f"below{i}_{b}") for b, low in enumerate(lows)]
+        bounds += [F.count(F.when(value <= high, 1)).alias(f"upto{i}_{b}") for b, high in enumerate(highs)]
+    places = numbers.agg(*bounds).first()
+    names = F.array(*[F.lit(c) for c in known])
+    sizes = F.array(*[F.lit(r.n) for r in known.values()])
+    counted = numbers.select(F.inline(F.array(*inside))).filter("value IS NOT NULL").groupBy("number", "value").agg(
+        F.count(F.lit(1)).alias("copies")
+    ).select(
+        names[F.col("number")].alias("column_name"), sizes[F.col("number")].alias("n"),
+        F.struct("value", F.lit(False).alias("collapsed")).alias("spot"), "copies",
+    )
+    collapsed = []
+    for i, (name, r) in enumerate(known.items()):
+        # The gaps before each bracket and behind all, by the place that ``_pick_ranks`` gives them.
+        behind, edge = 0, float("-inf")
+        for b in range(n_probs):
+            collapsed.append((name, r.n, (edge, True), places[f"below{i}_{b}"] - behind))
+            behind, edge = max(behind, places[f"upto{i}_{b}"]), ends[i][2 * b + 1]
+        collapsed.append((name, r.n, (float("inf"), True), r.n - behind))
+    collapsed = [x for x in collapsed if x[3] > 0]
+    if not collapsed:
+        return counted
+    schema = "column_name string, n long, spot struct<value: double, collapsed: boolean>, copies long"
+    return counted.unionByName(df.sparkSession.createDataFrame(collapsed, schema))
+
+
 def _pick_ranks(rows: DataFrame, keys: list[str], probs: list[float], refine: bool, sort_rows: int) -> DataFrame:
     """(keys, n, low0, high0, ...): the places of the wanted ranks."""
     # A value inside a bracket keeps its own place; a value in the gap before bracket i
@@ -172,6 +237,10 @@ def _pick_ranks(rows: DataFrame, keys: list[str], probs: list[float], refine: bo
         spot = spot.when(value <= F.get("ends", F.lit(2 * i + 1)), place(value, False))
     spot = spot.otherwise(place(F.lit(float("inf")), True))
     counted = rows.groupBy(*keys, "n", spot.alias("spot")).agg(F.count(F.lit(1)).alias("copies"))
+    return _ranks(counted, keys, probs, refine, sort_rows)
+
+
+def _ranks(counted: DataFrame, keys: list[str], probs: list[float], refine: bool, sort_rows: int) -> DataFrame:
     if refine:
         counted = _refined(stage(counted, "counted"), keys, probs, sort_rows)
     upto = Window.partitionBy(*keys).orderBy("spot").rowsBetween(Window.unboundedPreceding, 0)

@@ -127,6 +127,25 @@ def test_test_rows_do_not_change_the_fit(spark, train, fitted):
     assert not np.array_equal(vectors(other, train), vectors(fitted, train))
 
 
+def test_the_fit_makes_its_rows_once(spark, train):
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(x):
+        made.add(1)
+        return x
+
+    counting = train.withColumn("bath", F.udf(counted, "double")("bath"))
+    model = features.build_feature_pipeline().fit(counting)
+    assert made.value == train.count()
+    assert np.array_equal(vectors(model, train), vectors(features.build_feature_pipeline().fit(train), train))
+
+
+def test_fold_counts_rows_of_all_spellings(spark):
+    rows = [row("old  town ")] * 4 + [row("OLD TOWN")] * 3 + [row("Old Town")] * 3 + [row("new town")] * 9 + [row(None)] * 12
+    model = features.CategoryFolder().fit(listings(spark, rows))
+    assert [tuple(r) for r in model.tables["location"].collect()] == [("Old Town", 10)]
+
+
 def test_model_ready_bundle(spark):
     rows = [(i, *row(sqft=900.0 + i % 5, bhk=1.0 + i % 3), 40.0 + i % 5) for i in range(100)]
     df = spark.createDataFrame(rows, "id int, " + SCHEMA + ", price double")

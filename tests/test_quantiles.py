@@ -52,6 +52,26 @@ def test_grouped_quantiles_with_a_hot_key(spark, sizing):
     check(quantiles(spark.createDataFrame(pdf), ["v", "w"], PROBS, by=["k"], **sizing), pdf, ["v", "w"], "k")
 
 
+@pytest.mark.parametrize("sizing", [{}, {"accuracy": 100}, {"accuracy": 100, "sort_rows": 40}, {"sort_rows": 7}])
+def test_wide_quantiles(spark, sizing):
+    pdf = skewed()
+    pdf["few"], pdf["none"] = np.where(pdf.w > 1.5, np.nan, np.round(pdf.w)), np.nan
+    names = ["v", "few", "none", "w"]
+    check(quantiles(spark.createDataFrame(pdf), names, PROBS, wide=True, **sizing), pdf, names)
+    assert quantiles(spark.createDataFrame(pdf).limit(0), names, PROBS, wide=True).isEmpty()
+    for more in ({"by": ["k"]}, {"carry": ["w"]}):
+        with pytest.raises(ValueError):
+            quantiles(spark.createDataFrame(pdf), ["v"], PROBS, wide=True, **more)
+
+
+@pytest.mark.parametrize("values", [[5.0], [1.0, 1.0], [0.0, -0.0, np.inf, -np.inf], [2.0] * 500 + [3.0] * 700 + [4.0]])
+def test_wide_quantiles_count_as_long_ones(spark, values):
+    df = spark.createDataFrame(pd.DataFrame({"v": values}))
+    for accuracy in (100, 10_000):
+        wide, long = (quantiles(df, ["v"], PROBS, accuracy=accuracy, wide=w).collect() for w in (True, False))
+        assert str(wide) == str(long)
+
+
 @settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.floats(-1e6, 1e6) | st.sampled_from([0.0, 1.0]), min_size=1, max_size=60))
 def test_any_small_sample(spark, values):
