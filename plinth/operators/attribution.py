@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import sys
 from collections.abc import Iterator, Mapping, Sequence
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -97,28 +98,47 @@ class TreePaths:
             for k, leaves in sorted(by_size.items()) if k
         ]
 
-    def add_to(self, out: np.ndarray, columns: np.ndarray) -> None:
-        """Add the tree's contributions for rows given by their used slots, ``columns``, to ``out``."""
-        n = columns.shape[1]
-        codes = {self.root: np.zeros(n, np.int64)}
+    def tables(self, rows: int) -> list[np.ndarray | None]:
+        """Of each group the values of all patterns, or None if ``rows`` have fewer."""
+        out: list[np.ndarray | None] = []
+        for k, nodes, _, shares, values in self.groups:
+            known = None
+            if 1 << k <= max(rows, 64):
+                patterns = (np.arange(1 << k)[:, None] >> np.arange(k)) & 1
+                known = leaf_shapley(values, shares, np.broadcast_to(patterns, (len(nodes), *patterns.shape)))
+                known = np.ascontiguousarray(known.transpose(0, 2, 1))  # leaf, player, pattern
+            out.append(known)
+        return out
+
+    def add_to(self, out: np.ndarray, columns: np.ndarray, tables: Sequence[np.ndarray | None]) -> None:
+        """Add the tree's contributions to ``out``, both by used slot and row."""
+        n, most = columns.shape[1], max((g[0] for g in self.groups), default=0)
+        kind = np.uint8 if most <= 8 else np.uint16 if most <= 16 else np.int64
+        codes = {self.root: np.zeros(n, kind)}
         for node, parent, slot, threshold, nominal, is_left, player, new in self.steps:
             passes = (columns[slot] == threshold) if nominal else (columns[slot] <= threshold)
-            if not is_left:
-                passes = ~passes
-            bit = passes.astype(np.int64) << player
-            codes[node] = codes[parent] | bit if new else codes[parent] & (bit | ~(1 << player))
-        for k, nodes, slots, shares, values in self.groups:
-            if 1 << k <= max(n, 64):
-                patterns = (np.arange(1 << k)[:, None] >> np.arange(k)) & 1
-                table = leaf_shapley(values, shares, np.broadcast_to(patterns, (len(nodes), *patterns.shape)))
-                for leaf, node in enumerate(nodes):
-                    out[:, slots[leaf]] += table[leaf][codes[node]]
-            else:  # only the patterns that occur
-                for leaf, node in enumerate(nodes):
-                    seen, which = np.unique(codes[node], return_inverse=True)
-                    patterns = (seen[None, :, None] >> np.arange(k)) & 1
-                    table = leaf_shapley(values[leaf:leaf + 1], shares[leaf:leaf + 1], patterns)
-                    out[:, slots[leaf]] += table[0][which.reshape(-1)]
+            if new:
+                bit = (passes if is_left else ~passes).astype(kind)
+                codes[node] = codes[parent] | (bit << kind(player))
+            else:
+                fails = (~passes if is_left else passes).astype(kind)
+                codes[node] = codes[parent] & ~(fails << kind(player))
+        for (k, nodes, slots, shares, values), known in zip(self.groups, tables):
+            for leaf, node in enumerate(nodes):
+                which = codes[node]
+                if known is not None:
+                    of_leaf, which = known[leaf], which.astype(np.intp)
+                else:  # only the patterns that occur
+                    seen, which = np.unique(which, return_inverse=True)
+                    patterns = (seen[None, :, None].astype(np.int64) >> np.arange(k)) & 1
+                    of_leaf, which = leaf_shapley(values[leaf:leaf + 1], shares[leaf:leaf + 1], patterns)[0].T, which.reshape(-1)
+                for player, slot in enumerate(slots[leaf].tolist()):
+                    out[slot] += of_leaf[player].take(which)
+
+
+@lru_cache
+def _gauss(count: int) -> tuple[np.ndarray, np.ndarray]:
+    return np.polynomial.legendre.leggauss(count)
 
 
 def leaf_shapley(values: np.ndarray, shares: np.ndarray, follows: np.ndarray) -> np.ndarray:
@@ -130,7 +150,7 @@ def leaf_shapley(values: np.ndarray, shares: np.ndarray, follows: np.ndarray) ->
     the others: a polynomial, which Gauss-Legendre points integrate exactly. No set is enumerated.
     """
     k = shares.shape[1]
-    points, weights = np.polynomial.legendre.leggauss((k + 1) // 2)
+    points, weights = _gauss((k + 1) // 2)
     points, weights = (points + 1) / 2, weights / 2
     share, follow = shares[:, None, :], follows.astype(float)
     total = np.zeros(follow.shape)
@@ -143,13 +163,13 @@ def leaf_shapley(values: np.ndarray, shares: np.ndarray, follows: np.ndarray) ->
 
 def contributions(trees: Sequence[TreePaths], x: np.ndarray) -> np.ndarray:
     """Contributions of the used slots for a batch ``x`` of the same slots."""
-    out = np.zeros(x.shape)
-    for start in range(0, len(x), _ROWS_AT_ONCE):
-        part = slice(start, start + _ROWS_AT_ONCE)
-        columns = np.ascontiguousarray(x[part].T)
-        for tree in trees:
-            tree.add_to(out[part], columns)
-    return out
+    out, columns = np.zeros(x.shape[::-1]), np.ascontiguousarray(x.T)
+    for tree in trees:
+        tables = tree.tables(min(len(x), _ROWS_AT_ONCE))
+        for start in range(0, len(x), _ROWS_AT_ONCE):
+            part = slice(start, start + _ROWS_AT_ONCE)
+            tree.add_to(out[:, part], columns[:, part], tables)
+    return out.T
 
 
 def tree_blocks(model: TreeModel, max_bytes: int) -> list[tuple[int, int]]:

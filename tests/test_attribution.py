@@ -153,3 +153,19 @@ def test_global_importance(spark):
     parts = attribution.linear_attributions(df, ["id"], F.array("a", "b", "c"), NAMES, [0.1, -1.0, 2.0], [25.0, 0.0, 0.5])
     rows = attribution.global_importance(parts, 2).collect()
     assert [(r.raw_feature, r.mean_abs_shap) for r in rows] == [("num__bath", 3.0), ("num__total_sqft", 1.5)]
+
+
+def test_a_tree_makes_its_tables_once_a_batch(monkeypatch):
+    rng = np.random.default_rng(4)
+    nodes = {0: {"left": 1, "right": 2, "slot": 0, "threshold": 0.5, "rows": 10.0, "value": 0.0},
+             1: {"rows": 4.0, "value": 1.0}, 2: {"left": 3, "right": 4, "slot": 1, "category": 2.0, "rows": 6.0, "value": 0.0},
+             3: {"rows": 1.0, "value": -2.0}, 4: {"rows": 5.0, "value": 3.0}}
+    model = TreeModel.from_nodes([(nodes, 1.0)])
+    paths = [TreePaths(model, 0, {0: 0, 1: 1})]
+    x = np.c_[rng.random(5000), rng.integers(0, 4, 5000)]
+    one_by_one = np.concatenate([attribution.contributions(paths, x[i : i + 50]) for i in range(0, 5000, 50)])
+    calls, table = [], attribution.leaf_shapley
+    monkeypatch.setattr(attribution, "leaf_shapley", lambda *args: calls.append(1) or table(*args))
+    whole = attribution.contributions(paths, x)
+    assert np.array_equal(whole, one_by_one) and len(calls) == len(paths[0].groups)
+    assert whole.sum(axis=1) + attribution.expected_value(model) == pytest.approx(model.predict(x))
